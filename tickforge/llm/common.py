@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once. A column that a lambda names may be inlined into it by the optimizer and
+    then computed for each element; a lambda's own variable is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

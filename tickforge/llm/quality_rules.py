@@ -4,7 +4,7 @@ DataFrame functions only."""
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, documents, fresh_name
+from .common import SPACE, WORD, documents, fresh_name, let
 
 MIN_WORDS = 50
 #: Percentage of words in repeated windows above which a document fails.
@@ -12,8 +12,8 @@ MAX_REPEATED = 50
 #: A document whose surviving lines hold under this percentage of its words is rejected.
 MIN_LEFT = 60
 SYMBOLS = r"[#*$%&|<>]"
-#: Up to this many distinct repeated windows, membership is tested by a scan of them; beyond, windows are sorted.
-FEW = 64
+#: Bits of a window's position where it is sorted together with its hash.
+INDEX_BITS = 20
 
 #: Line rules. Punctuation: markup-like characters for over half the words, or those and exclamations for more than
 #: all of them. Navigation: separators for a fifth of the words. Boilerplate: a stock phrase in a short line.
@@ -33,72 +33,90 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    words = F.regexp_count(line, F.lit(WORD))
-    markup, exclaims, separators = _count(line, MARKUP), _count(line, EXCLAIMS), _count(line, SEPARATORS)
-    punctuation = (2 * markup > words) | (markup + exclaims > words)
-    navigation = (separators >= 2) & (5 * separators >= words)
-    boilerplate = (words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-    return ~(punctuation | navigation | boilerplate)
-
-
-def _repeat_words(words: Column, hashes: Column, repeated: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more. hashes: the hash of each window, in order; repeated:
-    the distinct hashes that occur more than once."""
-    # Starts of repeated windows, in order; each covers up to its successor, three words at most.
-    index = F.sequence(F.lit(0), F.size(hashes) - 1)
-    few = F.filter(index, lambda i: F.array_contains(repeated, F.get(hashes, i)))
-    in_order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = lambda a, b: F.coalesce(F.get(a, b)["h"], F.lit(None)).eqNullSafe
-    many = F.array_sort(
-        F.transform(F.filter(in_order, lambda x, k: same(in_order, k - 1)(x["h"]) | same(in_order, k + 1)(x["h"])), lambda x: x["i"])
-    )
-    return F.when(F.size(repeated) == 0, F.array().cast("array<int>")).when(F.size(repeated) <= FEW, few).otherwise(many)
+    def rules(c: Column) -> Column:
+        words, markup, separators = c["words"], c["markup"], c["separators"]
+        punctuation = (2 * markup > words) | (markup + c["exclaims"] > words)
+        navigation = (separators >= 2) & (5 * separators >= words)
+        boilerplate = (words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+        return ~(punctuation | navigation | boilerplate)
+
+    return let(
+        F.struct(
+            F.regexp_count(line, F.lit(WORD)).alias("words"), _count(line, MARKUP).alias("markup"), _count(line, EXCLAIMS).alias("exclaims"), _count(line, SEPARATORS).alias("separators"),
+        ),
+        rules,
+    )
 
 
 def _covered(starts: Column) -> Column:
+    """Words that windows with these starts cover: each covers up to its successor, three words at most."""
     gaps = F.transform(starts, lambda s, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - s, F.lit(3))))
     return F.aggregate(gaps, F.lit(0), lambda a, b: a + b).cast("long")
 
 
+def _repeated_words(words: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more. The windows' hashes, their last INDEX_BITS bits replaced
+    by their positions, are sorted as longs; those whose neighbour has the same first bits are few, and whole hashes
+    decide among them. Texts with more words than positions fit sort whole hashes."""
+    n = F.size(words)
+    w = lambda i: F.get(words, i)
+    full = lambda i: F.xxhash64(w(i), w(i + 1), w(i + 2))
+    positions = F.sequence(F.lit(0), n - 3)
+    low = (1 << INDEX_BITS) - 1
+
+    def near(order: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(F.get(order, k)), INDEX_BITS) == 0, F.lit(False))
+        return F.transform(F.filter(order, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
+
+    def exact(candidates: Column) -> Column:
+        def by_sorting(order: Column) -> Column:
+            same = lambda k, x: F.coalesce(F.get(order, k)["h"] == x["h"], F.lit(False))
+            return F.array_sort(F.transform(F.filter(order, lambda x, k: same(k - 1, x) | same(k + 1, x)), lambda x: x["i"]))
+
+        whole = F.transform(candidates, lambda i: F.struct(full(i).alias("h"), i.alias("i")))
+        return let(let(F.sort_array(whole), by_sorting), _covered)
+
+    packed = F.transform(positions, lambda i: full(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    return F.when(n < 3, F.lit(0).cast("long")).when(n > low, exact(positions)).otherwise(let(let(F.sort_array(packed), near), exact))
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """docs with a struct column named by fresh_name(docs, "_rules"): n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_lines_removed, words_left, clean_text, kept.
 
     Null text counts as empty: no words, so base_failed. Wordless lines are neither judged nor duplicates. Repeated
-    rows get equal results; other columns pass through. The work is linear in the text, but for windows that repeat
-    more than FEW times over in a document, which are sorted within the row. Nothing is shuffled."""
+    rows get equal results; other columns pass through. The work is that of sorting a row's windows; nothing is shuffled."""
     name = fresh_name(docs, "_rules")
-    t = {x: fresh_name(docs, f"_t_{x}") for x in ("text", "words", "lines", "hashes", "sorted", "repeated", "starts", "left", "clean", "base")}
-    c = {k: F.col(v) for k, v in t.items()}
-    out = docs.withColumn(t["text"], F.coalesce(F.col("text").cast("string"), F.lit("")))
-    trimmed = F.btrim(c["text"], F.lit(" \t\n\x0b\x0c\r"))
-    out = out.withColumns({
-        t["words"]: F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE)),
-        t["lines"]: F.filter(F.split(c["text"], "\n"), lambda x: x.rlike(WORD)),
-    })
-    n = F.size(c["words"])
-    w = lambda i: F.get(c["words"], i)
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w(i), w(i + 1), w(i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn(t["hashes"], windows).withColumn(t["sorted"], F.sort_array(c["hashes"]))
-    twice = F.filter(c["sorted"], lambda h, k: (k > 0) & (h == F.get(c["sorted"], k - 1)))
-    out = out.withColumn(t["repeated"], F.array_distinct(twice))
-    out = out.withColumn(t["starts"], _repeat_words(c["words"], c["hashes"], c["repeated"]))
-    out = out.withColumn(t["left"], F.filter(c["lines"], line_passes))
-    out = out.withColumn(t["clean"], F.array_join(c["left"], "\n"))
-    squeezed = F.regexp_replace(c["text"], SPACE, "")
-    out = out.withColumn(
-        t["base"],
-        F.struct(
-            n.cast("long").alias("n_words"), F.length(squeezed).cast("long").alias("word_chars"), _count(c["text"], SYMBOLS).cast("long").alias("n_symbols"),
-            (F.size(c["lines"]) - F.size(F.array_distinct(c["lines"]))).cast("long").alias("n_dup_lines"), _covered(c["starts"]).alias("n_repeat_words"),
-            F.regexp_count(c["clean"], F.lit(WORD)).cast("long").alias("words_left"), (F.size(c["lines"]) - F.size(c["left"])).cast("long").alias("n_lines_removed"),
-        ),
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+
+    def by_line(all_lines: Column) -> Column:
+        def result(left: Column) -> Column:
+            clean_text = F.array_join(left, "\n")
+            return F.struct(
+                (F.size(all_lines) - F.size(F.array_distinct(all_lines))).cast("long").alias("n_dup_lines"), (F.size(all_lines) - F.size(left)).cast("long").alias("n_lines_removed"),
+                F.regexp_count(clean_text, F.lit(WORD)).cast("long").alias("words_left"), clean_text.alias("clean_text"),
+            )
+
+        return let(F.filter(all_lines, line_passes), result)
+
+    by_word = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(w).alias("n_repeat_words")))
+    figures = F.struct(
+        by_word.alias("w"), let(lines, by_line).alias("l"), F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"), _count(text, SYMBOLS).cast("long").alias("n_symbols"),
     )
-    b = c["base"]
-    failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > MAX_REPEATED * b["n_words"])
-    verdict = ~failed & (100 * b["words_left"] >= MIN_LEFT * b["n_words"])
-    fields = [b[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_left", "n_lines_removed")]
-    return out.withColumn(name, F.struct(*fields, failed.alias("base_failed"), verdict.alias("kept"), c["clean"].alias("clean_text"))).select(*docs.columns, name)
+
+    def verdict(f: Column) -> Column:
+        n, repeats = f["w"]["n_words"], f["w"]["n_repeat_words"]
+        failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEATED * n)
+        return F.struct(
+            n.alias("n_words"), f["word_chars"].alias("word_chars"), f["n_symbols"].alias("n_symbols"), f["l"]["n_dup_lines"].alias("n_dup_lines"), repeats.alias("n_repeat_words"),
+            failed.alias("base_failed"), f["l"]["n_lines_removed"].alias("n_lines_removed"), f["l"]["words_left"].alias("words_left"), f["l"]["clean_text"].alias("clean_text"),
+            (~failed & (100 * f["l"]["words_left"] >= MIN_LEFT * n)).alias("kept"),
+        )
+
+    return docs.withColumn(name, let(figures, verdict))
 
 
 def clean(docs: DataFrame) -> DataFrame:
