@@ -4,7 +4,7 @@ become patterns, and patterns that hold mostly seeds find identifiers of unknown
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, let, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive repeats and a test of the character before keep each scan linear: within a run of one class only its
@@ -56,16 +56,17 @@ def _valid(kind: str, m: Column) -> Column:
 def _found(text: Column, kind: str, gate: Column) -> Column:
     """An array of (kind, m, gap, before, after) for each match in order: the match, the length of the text since
     the last one, and up to CONTEXT code points on either side."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
+    def items(gaps: Column) -> Column:
+        def item(m: Column, i: Column) -> Column:
+            gap, after = F.get(gaps, i), F.get(gaps, i + 1)
+            return F.struct(
+                F.lit(kind).alias("kind"), i.alias("nth"), m.alias("m"), F.length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"),
+            )
 
-    def item(m: Column, i: Column) -> Column:
-        gap, after = F.get(gaps, i), F.get(gaps, i + 1)
-        return F.struct(
-            F.lit(kind).alias("kind"), i.alias("nth"), m.alias("m"), F.length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"),
-        )
+        return F.transform(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), item)
 
     nothing = F.array().cast("array<struct<kind:string,nth:int,m:string,gap:int,before:string,after:string>>")
-    return F.when(gate, F.transform(matches, item)).otherwise(nothing)
+    return F.when(gate, let(F.split(text, PATTERNS[kind], -1), items)).otherwise(nothing)
 
 
 def _scan(docs: DataFrame) -> DataFrame:
