@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     # Only fingerprints with a link need their component looked up; for the others it is the least id of the copies.
     component = roots.join(by_root, "root").select(F.col("node").alias("fp"), "component_id")
-    per_fp = least.join(component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written, so that the last join is by its own exchange and a fingerprint with many copies can be split there.
+    per_fp = materialize(least.join(component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return rows.join(per_fp, "fp").select("doc_id", "fp", "component_id")
 
 
