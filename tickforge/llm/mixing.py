@@ -92,7 +92,8 @@ def plan(slim: DataFrame, mix: Mix) -> DataFrame:
     partial = leaves.withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens")).filter("left > 0")
     # The epoch's number is the leaf's, so keys are made after the leaf is known.
     keyed = slim.join(partial.select(*LEVELS, "epochs", "left"), list(LEVELS)).withColumn("key", order_key(F.col("row_key"), mix.seed, F.col("epochs")))
-    keyed = keyed.select(*LEVELS, "left", "tokens", "key", F.substring("key", 1, 3).alias("bucket"))
+    # Written, so that what follows is dealt by leaf and bucket and not by leaf.
+    keyed = materialize(keyed.select(*LEVELS, "left", "tokens", "key", F.substring("key", 1, 3).alias("bucket")), "keys")
     sums = keyed.groupBy(*LEVELS, "left", "bucket").agg(F.sum("tokens").alias("n"))
     w = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.sum("n").over(w))
