@@ -17,7 +17,7 @@ GRAM = 5
 #: Bytes of benchmark text that one pass over the documents takes. More text means more passes.
 BLOCK_BYTES = 4 << 20
 #: Words handled at a time, whatever the length of a text.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 #: Lower-cases A-Z, keeps a-z, 0-9 and all bytes from 0x80, and makes the rest spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
