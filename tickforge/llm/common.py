@@ -36,6 +36,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python workers count rows, not bytes: whole texts go in batches of few rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

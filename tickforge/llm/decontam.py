@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_name, materialize
+from .common import bound_batches, documents, fresh_name, materialize
 
 #: Words of a window that must be shared.
 WINDOW = 10
@@ -216,6 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     so no more than a block is ever on the driver or a worker. Null or wordless texts have no words and no hits.
     Items with a null id or text, or without words, have no windows. Repeated documents or items change nothing
     for others; other columns pass through."""
+    bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     parts = []
     for _, n, items in _blocks(benchmark, block_bytes):

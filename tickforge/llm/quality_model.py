@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, id_remainder, materialize
+from .common import bound_batches, documents, id_remainder, materialize
 
 N_FEATURES = 160
 RIDGE = 1e-3
@@ -157,6 +157,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and wordless texts have statistics of zero and a score like any. A null id is scored and teaches nothing;
     repeated rows are scored alike and each teaches. Without usable labels all scores are 0.5. Other columns are
     ignored. An empty table gives no rows."""
+    bound_batches(docs.sparkSession)
     stats = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _statistics(F.col("text").cast("string")).alias("stats")), "statistics")
     fold = id_remainder("doc_id", 5)
     known = stats.filter(fold != 0).join(_labels(labels), F.col("doc_id") == F.col("_label_id")).select("stats", "label", (fold != 4).alias("fit"))

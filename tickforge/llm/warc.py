@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 VERSION = "WARC/1.1"
 #: Rows of a batch of derived records.
 BATCH = 256
@@ -109,6 +111,7 @@ def derivatives(responses: DataFrame, *, source_id: Column, uri: Column, date: C
     Rows are handled by themselves, without a shuffle. Null payload is an empty body; null headers are none; a null
     uri or date stays null (and is left out of written records). Without a response_id one is made of uri, date and
     payload. Repeated rows give repeated records with equal ids; an empty table gives none."""
+    bound_batches(responses.sparkSession)
     slim = responses.select(
         source_id.cast("string").alias("source_id"), F.lit(None).cast("string").alias("response_id") if response_id is None else response_id.cast("string").alias("response_id"), uri.cast("string").alias("uri"),
         date.cast("string").alias("date"), headers.cast("map<string,string>").alias("headers"), payload.cast("string").alias("payload"),
