@@ -278,7 +278,7 @@ class Stepper:
                 s[3] = x if s[3] != s[3] else alpha * x + (1 - alpha) * s[3]
             return s[3]
         if op == "scan":
-            return s.step(*a)
+            return s.run(*a)
         return a[0][n.p[0]]  # pick
 
 

@@ -10,7 +10,7 @@ from ..functions import series as s
 from ..operators.registry import REGISTRY
 from ..sources.bars import EVENTS_SQL, LINEITEM_SQL, events_bars, lineitem_bars
 from .expr import E, col
-from .sql import NotInSQL, sql
+from .sql import NotInSQL, rounded, sql
 from .study import COMMON, Bars, Study
 from .tables import ichimoku_forward, tos_stdevall, vp
 
@@ -23,7 +23,14 @@ PARAMS: dict[str, dict] = {
 
 
 def _rounded(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, *[(F.round(F.col(f"`{c}`").cast("double"), DIGITS) + F.lit(0.0)).alias(c) for c in df.columns if c not in keep])
+    """Rounded like the SQL is: see sql.rounded."""
+
+    def figure(c: str):
+        x = F.col(f"`{c}`").cast("double")
+        near, mid, far = F.round(x + 3e-8, DIGITS), F.round(x + 3e-4, DIGITS - 4), F.round(x + 3.0, DIGITS - 8)
+        return (F.when(F.abs(x) < 1e4, near).when(F.abs(x) < 1e8, mid).when(F.abs(x) < 1e300, far) + F.lit(0.0)).alias(c)
+
+    return df.select(*keep, *[figure(c) for c in df.columns if c not in keep])
 
 
 def _series(outputs: dict[str, E], source=events_bars) -> Callable[[SparkSession, str], DataFrame]:
@@ -120,7 +127,7 @@ def oracles() -> dict[str, str]:
     for k in ("rsi", "macd"):
         out[f"bars_lineitem_{k}"] = sql(LINEITEM_SQL, REGISTRY[k].outputs(), ["symbol"], ["ts"], DIGITS)
     b = f"WITH b AS ({EVENTS_SQL})"
-    r = lambda x, name: f'round({x}, {DIGITS}) + 0.0 AS "{name}"'
+    r = lambda x, name: f'{rounded(f"CAST({x} AS DOUBLE)", DIGITS)} AS "{name}"'
     lines = ", ".join([r("y", "TOS_STDEVALL_LR"), *[r(f"y {sign} {i} * d", f"TOS_STDEVALL_{side}_{i}") for i in (1, 2, 3) for side, sign in (("L", "-"), ("U", "+"))]])
     out["ta_tos_stdevall"] = f"{b}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM b), f AS (SELECT symbol, regr_slope(close, i) AS m, regr_intercept(close, i) AS c, stddev_samp(close) AS d FROM i GROUP BY symbol), y AS (SELECT symbol, ts, c + m * i AS y, d FROM i JOIN f USING (symbol)) SELECT symbol, ts, {lines} FROM y"
     signed = "coalesce(sign(close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)), 1) AS s, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, min(close) OVER (PARTITION BY symbol) AS lo, max(close) OVER (PARTITION BY symbol) AS hi"

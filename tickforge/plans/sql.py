@@ -65,6 +65,13 @@ def _w(n: E, a: list[str], keys: str, order: str) -> str:
     return f"CASE WHEN count({x}) {over} >= {max(1, minp)} THEN {body} END"
 
 
+def rounded(x: str, digits: int) -> str:
+    """Rounded so that figures of two engines agree: large values to fewer places, and by a shift off exact ties."""
+    far = [(1e4, digits, 3e-8), (1e8, digits - 4, 3e-4), (1e300, digits - 8, 3.0)]
+    cases = " ".join(f"WHEN abs({x}) < {top!r} THEN round({x} + {shift!r}, {d})" for top, d, shift in far)
+    return f"CASE {cases} END + 0.0"
+
+
 def sql(base: str, outputs: dict[str, E], keys: list[str], order: list[str], digits: int = 6) -> str:
     """A query over `base` (SQL with the series' columns) for keys, order and the rounded outputs."""
     nodes = topological(list(outputs.values()))
@@ -118,5 +125,5 @@ def sql(base: str, outputs: dict[str, E], keys: list[str], order: list[str], dig
             ctes.append(f"j{depth} AS (SELECT t.*, {', '.join(f'r.{c}' for c in names)} FROM {last} t JOIN e{depth} r ON t._rn = r._rn AND {' AND '.join(f't."{c}" IS NOT DISTINCT FROM r."{c}"' for c in keys)})")
             last = f"j{depth}"
             stored |= {n.key: c for n, c in zip(means, names, strict=True)}
-    out = ", ".join(f'round(CAST({get(n)} AS DOUBLE), {digits}) + 0.0 AS "{name}"' for name, n in outputs.items())
+    out = ", ".join(f'{rounded(f"CAST({get(n)} AS DOUBLE)", digits)} AS "{name}"' for name, n in outputs.items())
     return f"WITH RECURSIVE {', '.join(ctes)} SELECT {k}, {o}, {out} FROM {last}"

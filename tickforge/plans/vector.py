@@ -115,7 +115,8 @@ def _one(n: E, a: list, columns: dict[str, np.ndarray], size: int):
     if op == "scan":
         from ..operators.kernels import KERNELS
 
-        step = KERNELS[n.p[0]](**dict(n.p[1])).step
+        step = KERNELS[n.p[0]](**dict(n.p[1])).run
         rows = [step(*r) for r in zip(*(x.tolist() for x in a), strict=True)]
-        return np.array(rows, dtype=float).reshape(size, -1)
+        wide = max(map(len, rows), default=1)
+        return np.array([r if len(r) == wide else (NAN,) * wide for r in rows], dtype=float).reshape(size, -1)
     return a[0][:, n.p[0]]  # pick
