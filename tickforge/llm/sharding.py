@@ -103,22 +103,22 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         before[k] = (k, b, n)
         b, n = b + held[k][0], n + held[k][1]
     spark = docs.sparkSession
-    tmp = {x: fresh_name(docs, f"_{x}") for x in ("key", "tie", "range", "bytes", "rows", "start")}
+    tmp = {x: fresh_name(docs, f"_plan_{x}") for x in ("key", "tie", "range", "bytes", "rows", "start", "sum", "nth", "rank", "shard")}
     # A row for each range, MAX_RANGES of them and their subdivisions at most: the driver made this table.
     offsets = F.broadcast(spark.createDataFrame(list(before.values()), f"{tmp['range']} int, {tmp['bytes']} long, {tmp['rows']} long"))
     wide = docs.withColumns({tmp["key"]: key, tmp["tie"]: tie, names["size"]: _size(text), names["text_crc32"]: F.crc32(F.coalesce(text, F.lit("")))})
     wide = wide.withColumn(tmp["range"], _range_of(bounds)(tmp["key"], tmp["tie"]))
     w = Window.partitionBy(tmp["range"]).orderBy(tmp["key"], tmp["tie"]).rowsBetween(Window.unboundedPreceding, 0)
-    wide = wide.withColumns({"_sum": F.sum(names["size"]).over(w), "_nth": F.count(F.lit(1)).over(w)}).join(offsets, tmp["range"])
-    prior = F.col(tmp["bytes"]) + F.col("_sum") - F.col(names["size"])
-    wide = wide.withColumns({names["shard"]: F.floor(prior.cast("decimal(38,0)") * n_shards / F.lit(max(total, 1)).cast("decimal(38,0)")).cast("int"), "_rank": F.col(tmp["rows"]) + F.col("_nth") - 1})
+    wide = wide.withColumns({tmp["sum"]: F.sum(names["size"]).over(w), tmp["nth"]: F.count(F.lit(1)).over(w)}).join(offsets, tmp["range"])
+    prior = F.col(tmp["bytes"]) + F.col(tmp["sum"]) - F.col(names["size"])
+    wide = wide.withColumns({names["shard"]: F.floor(prior.cast("decimal(38,0)") * n_shards / F.lit(max(total, 1)).cast("decimal(38,0)")).cast("int"), tmp["rank"]: F.col(tmp["rows"]) + F.col(tmp["nth"]) - 1})
     # A shard's first rank: the least of its ranks, of at most n_shards shards.
     slim_ranks = slim.withColumn("range", _range_of(bounds)("key", "tie"))
     sw = Window.partitionBy("range").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
     ranks = slim_ranks.withColumns({"s": F.sum("size").over(sw), "c": F.count(F.lit(1)).over(sw)}).join(offsets, F.col("range") == F.col(tmp["range"]))
     ranks = ranks.select(F.floor((F.col(tmp["bytes"]) + F.col("s") - F.col("size")).cast("decimal(38,0)") * n_shards / F.lit(max(total, 1)).cast("decimal(38,0)")).cast("int").alias("shard"), (F.col(tmp["rows"]) + F.col("c") - 1).alias("rank"))
-    starts = F.broadcast(ranks.groupBy(F.col("shard").alias("_shard")).agg(F.min("rank").alias(tmp["start"])))
-    out = wide.join(starts, F.col(names["shard"]) == F.col("_shard")).withColumn(names["slot"], F.col("_rank") - F.col(tmp["start"]))
+    starts = F.broadcast(ranks.groupBy(F.col("shard").alias(tmp["shard"])).agg(F.min("rank").alias(tmp["start"])))
+    out = wide.join(starts, F.col(names["shard"]) == F.col(tmp["shard"])).withColumn(names["slot"], F.col(tmp["rank"]) - F.col(tmp["start"]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *names.values())
 
 
