@@ -66,7 +66,7 @@ def _renamed(outputs: dict[str, E]) -> dict[str, E]:
 
     def moved(n: E) -> E:
         if n.key not in made:
-            made[n.key] = E("col", (), ("_in_ts",)) if n.op == "col" and n.p[0] == "ts" else E(n.op, tuple(moved(a) for a in n.args), n.p)
+            made[n.key] = E("col", (), ("in__ts",)) if n.op == "col" and n.p[0] == "ts" else E(n.op, tuple(moved(a) for a in n.args), n.p)
         return made[n.key]
 
     return {k: moved(v) for k, v in outputs.items()}

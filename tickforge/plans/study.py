@@ -87,18 +87,18 @@ class Bars:
         for name in used:
             if name == "ts":
                 source = self.columns.get("ts", self.order[0])
-                new["_in_ts"] = (F.unix_micros(F.col(f"`{source}`").cast("timestamp")) / 1e6).cast("double")
+                new["in__ts"] = (F.unix_micros(F.col(f"`{source}`").cast("timestamp")) / 1e6).cast("double")
                 continue
             real = name if name in self.df.columns else present.get(name.lower())
             if real is None:
                 raise ValueError(f"no column {name!r} in {self.df.columns}")
             x = F.col(f"`{real}`").cast("double")
-            new[f"_in_{name}"] = F.when(~F.isnan(x), x)
+            new[f"in__{name}"] = F.when(~F.isnan(x), x)
         made: dict[str, E] = {}
 
         def moved(n: E) -> E:
             if n.key not in made:
-                made[n.key] = E("col", (), (f"_in_{n.p[0]}",)) if n.op == "col" else E(n.op, tuple(moved(a) for a in n.args), n.p)
+                made[n.key] = E("col", (), (f"in__{n.p[0]}",)) if n.op == "col" else E(n.op, tuple(moved(a) for a in n.args), n.p)
             return made[n.key]
 
         return self.df.withColumns(new) if new else self.df, {k: moved(v) for k, v in outputs.items()}

@@ -22,7 +22,7 @@ def events_bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFra
 
 
 EVENTS_SQL = """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
-  CAST(count(*) AS DOUBLE) AS volume, CAST(epoch(date_trunc('hour', ts)) AS DOUBLE) AS _in_ts FROM events GROUP BY ALL"""
+  CAST(count(*) AS DOUBLE) AS volume, CAST(epoch(date_trunc('hour', ts)) AS DOUBLE) AS in__ts FROM events GROUP BY ALL"""
 
 
 def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
