@@ -23,8 +23,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: Code points handled at a time, whatever the length of a text.
 CHUNK = 1 << 19
 UNKNOWN = "und"
-#: Below this calibrated probability the pipeline rejects a document.
-MIN_SCORE = 0.5
+#: Below this calibrated probability, near chance, the pipeline rejects a document.
+MIN_SCORE = 0.3
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
