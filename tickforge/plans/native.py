@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expr import RECURSIVE_OPS, WINDOW_OPS, E, Stepper, recursive, topological
+from .expr import RECURSIVE_OPS, WINDOW_OPS, E, Stepper, looks_ahead, recursive, topological
 from .vector import evaluate
 
 #: Rows of one series that the Python pass holds. Longer series go on bar by bar with carried state.
 WHOLE_ROWS = 1_000_000
+#: Windows from which a study is wide: its series all go through the Python pass, where arrays are rolled over in place,
+#: because Spark builds each sliding frame anew for each row.
+WIDE = 60
 #: Weights up to which a weighted sum is written as lags; more are folded over the collected frame.
 LAGS = 64
 
@@ -146,15 +149,19 @@ def compile_native(df: DataFrame, nodes: list[E], have: dict[str, str], keys: li
 
 def plan(df: DataFrame, outputs: dict[str, E], keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """keep columns and the outputs. Nodes with nothing recursive below are native; recursive ones, and what lies
-    between them, run in one Python pass over series brought together once; the rest is native again."""
+    between them, run in one Python pass over series brought together once; the rest is native again. A study of WIDE or
+    more windows runs in the pass as a whole."""
     number: dict[str, str] = {}
     nodes = list(outputs.values())
     everything = topological(nodes)
     deep = {n.key for n in everything if recursive(n)}
+    wide = sum(n.op in WINDOW_OPS for n in everything) >= WIDE and not any(looks_ahead(n) for n in nodes)
+    if wide:
+        deep = {n.key for n in everything if n.op not in ("col", "lit")}
     if not deep:
         df, cols = compile_native(df, nodes, {}, keys, order, number)
         return df.select(*[F.col(f"`{c}`") for c in keep], *[cols[n.key].alias(name) for name, n in outputs.items()])
-    feeds: set[str] = set()
+    feeds: set[str] = set(deep) if wide else set()
     for n in everything:
         if n.op in RECURSIVE_OPS:
             feeds |= {x.key for x in topological(list(n.args)) if x.key in deep}
@@ -162,6 +169,8 @@ def plan(df: DataFrame, outputs: dict[str, E], keys: list[str], order: list[str]
     python = [n for n in everything if n.key in feeds]
     edge = {a.key: a for n in python for a in n.args if a.key not in deep and a.op != "lit"}
     after = [n for n in everything if n.key in deep and n.key not in feeds]
+    if wide:
+        edge |= {n.key: n for n in nodes if n.op in ("col", "lit")}
     wanted = {n.key: n for n in nodes if n.key in feeds} | {a.key: a for n in after for a in n.args if a.key in feeds}
     wanted = {k: n for k, n in wanted.items() if n.op != "scan"}
     # Native inputs of what comes after the pass are made before it only if it needs them; columns are cheap to redo.
@@ -185,18 +194,14 @@ def _series_pass(nodes: list[E], results: list[str], names: dict[str, str], keys
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         given = {k: rows[c].to_numpy(dtype=float) for k, c in names.items()}
         values = evaluate(nodes, {}, given)
-        out = rows[passing].copy()
-        for c, v in zip(results, values, strict=True):
-            out[c] = v.astype(float)
-        return out
+        new = pd.DataFrame({c: v.astype(float) for c, v in zip(results, values, strict=True)}, index=rows.index)
+        return pd.concat([rows[passing], new], axis=1)
 
     def stepped(stepper: Stepper, rows: pd.DataFrame) -> pd.DataFrame:
         inputs = rows[list(names.values())].to_numpy(dtype=float)
         values = [stepper.step(dict(zip(names.values(), r, strict=True))) for r in inputs.tolist()]
-        out = rows[passing].copy()
-        for i, c in enumerate(results):
-            out[c] = np.array([float(v[i]) for v in values])
-        return out
+        new = pd.DataFrame({c: np.array([float(v[i]) for v in values]) for i, c in enumerate(results)}, index=rows.index)
+        return pd.concat([rows[passing], new], axis=1)
 
     def given_columns() -> list[E]:
         """The same nodes over the pass's input columns."""

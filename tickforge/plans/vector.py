@@ -3,7 +3,10 @@
 import numpy as np
 import pandas as pd
 
-from .expr import NAN, E, _stats, period_of, topological
+from .expr import NAN, E, period_of, topological
+
+#: Windows that are copied at a time.
+CHUNK = 1 << 14
 
 _CMP = {"lt": np.less, "le": np.less_equal, "gt": np.greater, "ge": np.greater_equal, "eq": np.equal}
 
@@ -20,12 +23,21 @@ def _roll(x: np.ndarray, how: str, n: int, minp: int, p: dict) -> np.ndarray:
         return getattr(r, how)(ddof=p.get("ddof", 1)).to_numpy()
     if how == "quantile":
         return r.quantile(p["q"]).to_numpy()
+    if how in ("skew", "kurt"):
+        flat = r.var(ddof=0).to_numpy() <= 1e-14 * np.maximum(1.0, r.mean().to_numpy() ** 2)
+        return np.where(flat, NAN, getattr(r, how)().to_numpy())
     out = np.full(len(x), NAN)
     if len(x) >= n:
         windows = np.lib.stride_tricks.sliding_window_view(x, n)
-        for i, w in enumerate(windows):
-            if w.tolist() == w.tolist() and not np.isnan(w).any():
-                out[i + n - 1] = _stats(how, w.tolist(), p)
+        for at in range(0, len(windows), CHUNK):  # in parts, for what a window's copy takes
+            w = windows[at : at + CHUNK]
+            if how == "mad":
+                v = np.abs(w - w.mean(axis=1, keepdims=True)).mean(axis=1)
+            elif how == "prank":
+                v = 100.0 * (w < w[:, -1:]).sum(axis=1) / (n - 1)
+            else:
+                v = (np.argmax if how == "argmax" else np.argmin)(w[:, ::-1], axis=1).astype(float)
+            out[at + n - 1 : at + n - 1 + len(w)] = np.where(np.isnan(w).any(axis=1), NAN, v)
     return out
 
 
@@ -88,7 +100,8 @@ def _one(n: E, a: list, columns: dict[str, np.ndarray], size: int):
     if op == "int":
         return a[0].astype(float)
     if op == "period":
-        return np.array([period_of(x, n.p[0]) for x in a[0].tolist()])
+        days, inverse = np.unique(np.floor(a[0] / 86400), return_inverse=True)
+        return np.array([period_of(d * 86400, n.p[0]) for d in days.tolist()])[inverse]
     if op == "rownum":
         return np.arange(1.0, size + 1)
     if op == "lag":
