@@ -172,8 +172,8 @@ def train(rows: DataFrame) -> Model | None:
     chance = F.create_map(*[F.lit(v) for k in languages for v in (k, share[k])])
     number = F.create_map(*[F.lit(v) for k in languages for v in (k, languages.index(k))])
     u = (F.pmod(F.col("draw"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    sample = known.filter(u < chance[F.col("lang")]).select("draw", number[F.col("lang")].alias("label"), "text").limit(2 * MAX_TRAIN)
-    vectors = sample.mapInArrow(_features(idf), "draw long, label int, buckets binary, x binary")
+    sample = known.filter(u < chance[F.col("lang")]).select("draw", number[F.col("lang")].alias("label"), "text")
+    vectors = sample.mapInArrow(_features(idf), "draw long, label int, buckets binary, x binary").limit(2 * MAX_TRAIN)
     fitted = vectors.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit(len(languages)), "weights binary, bias binary, temperature double").first()
     weights = np.frombuffer(fitted.weights, np.float32).reshape(BUCKETS, len(languages))
     return Model(languages, idf.astype(np.float32), weights, np.frombuffer(fitted.bias, np.float32), fitted.temperature)
