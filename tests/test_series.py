@@ -171,6 +171,14 @@ def test_catalogue():
         REGISTRY["ema"].outputs(lenght=3)
 
 
+def test_optional_inputs_are_used_only_if_named(many):
+    b = Bars(many)
+    assert "AD" in b.ta("ad").columns and "ADo" in b.ta("ad", open_=True).columns
+    assert "RVIr_14" in b.ta("rvi", high=True, low=True, refined=True).columns
+    with pytest.raises(ValueError, match="take high and low"):
+        b.ta("rvi", refined=True)
+
+
 def test_utilities():
     assert s.combination(10, 4) == 210 and s.combination(10, 4, repetition=True) == 715 and s.pascal(5) == [1, 4, 6, 4, 1] and s.triangle(5) == [1, 2, 3, 2, 1]
     assert s.fibonacci(6) == [1, 1, 2, 3, 5, 8] and s.zero(1e-17) == 0 and s.zero(1e-15) != 0 and len(s.ma()) == 17
@@ -237,7 +245,7 @@ def many(spark):
 
 def test_study_over_many_series_equals_each_alone(many):
     pdf = bars(260, 9, ("a", "b", "c"))
-    study = Study("mixed", [{"kind": k} for k in ("ema", "rsi", "macd", "supertrend", "aroon", "kama", "adx", "vwap", "pivots", "bbands", "ha", "qqe")])
+    study = Study("mixed", [{"kind": k} for k in ("ema", "rsi", "macd", "supertrend", "aroon", "kama", "adx", "vwap", "pivots", "bbands", "ha", "qqe", "kdj", "exhc", "alphatrend", "zigzag")])
     got = Bars(many).study(study).toPandas().sort_values(["symbol", "ts"])
     out = study.outputs()
     assert list(got.columns) == [*pdf.columns, *out]
@@ -247,6 +255,16 @@ def test_study_over_many_series_equals_each_alone(many):
             close_to(mine[name].to_numpy(dtype=float), v, 1e-6)
 
 
+def test_true_and_false_cross_the_pass(many):
+    """Comparisons before, in and after recursive nodes, alone in a plan."""
+    pdf = bars(260, 9, ("a", "b", "c"))
+    for kind in ("kdj", "zigzag", "alphatrend", "atrts", "macd"):
+        got = Bars(many).ta(kind, ["symbol", "ts"]).toPandas().sort_values(["symbol", "ts"])
+        mine = got[got.symbol == "b"]
+        for name, v in run(kind, pdf[pdf.symbol == "b"].reset_index(drop=True)).items():
+            close_to(mine[name].to_numpy(dtype=float), v, 1e-6)
+
+
 def test_one_python_pass_and_one_exchange(many):
     plan = Bars(many).study(Study("s", [{"kind": k} for k in ("ema", "rsi", "macd", "adx", "supertrend", "sma")]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1

@@ -2,7 +2,7 @@
 
 import math
 
-from ..plans.expr import E, dot, e, ewm, fn, roll, scan, where
+from ..plans.expr import E, cum, dot, e, ewm, fn, roll, scan, where
 
 EPS = 2.220446049250313e-16
 
@@ -75,6 +75,15 @@ def hlc3(high: E, low: E, close: E) -> E:
     return (high + low + close) / 3.0
 
 
+def adjusted(x: E, n: int) -> E:
+    """Exponential mean over the weights there are so far, (1 - 1/n)^k each, from the n-th value on."""
+    first = fn("isnull", cum("first", x).lag())
+    known = ~fn("isnull", x)
+    count = cum("sum", where(known, 1, 0))
+    part = lambda v: ewm(where(known, where(first, v / float(n), v), E("lit", (), (None,))), 1 / n)
+    return where(count >= float(n), part(x) / part(e(1.0)), E("lit", (), (None,)))
+
+
 def true_range(high: E, low: E, close: E, drift: int = 1, prenan: bool = False) -> E:
     pc = close.lag(drift)
     out = fn("gmax", high - low, (high - pc).abs(), (pc - low).abs())

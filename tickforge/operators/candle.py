@@ -1,7 +1,7 @@
 """Candle operators."""
 
 from ..functions.series import sma
-from ..plans.expr import NULL, ROW, E, flag, fn, roll, scan, where
+from ..plans.expr import ROW, E, ewm, flag, fn, roll, where
 from .registry import operator
 
 
@@ -45,5 +45,5 @@ def cdl_z(open_, high, low, close, length=30, ddof=1):
 def ha(open_, high, low, close):
     c = 0.25 * (open_ + high + low + close)
     # The first open is the raw bar's middle; from then on it follows the candle's own open and close.
-    o = scan("heikin", [where(ROW.same(1.0), 0.5 * (open_ + close), NULL), c])[0]
+    o = ewm(where(ROW.same(1.0), 0.5 * (open_ + close), c.lag()), 0.5)
     return {"HA_open": o, "HA_high": fn("gmax", o, high, c), "HA_low": fn("gmin", o, low, c), "HA_close": c}

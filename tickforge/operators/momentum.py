@@ -91,7 +91,10 @@ def eri(high, low, close, length=13):
 
 @operator("momentum")
 def exhc(close, length=4, cap=13, show_all=True):
-    dn, up = scan("run_length", [close.diff(length)], 2, cap=cap if cap > 0 else 10**9)
+    d = close.diff(length)
+    # A run's length is the rows since the last bar that broke it.
+    since = lambda run: fn("smin", ROW - fn("coalesce", where(run, NULL, ROW).ffill(), 0), cap if cap > 0 else 1e9)
+    dn, up = since(d < 0.0), since(d > 0.0)
     if not show_all:
         dn, up = (where((x >= 6.0) & (x <= 9.0), x, 0.0) for x in (dn, up))
     a = "a" if show_all else ""
@@ -120,9 +123,8 @@ def percent_k(high: E, low: E, close: E, n: int) -> E:
 
 @operator("momentum")
 def kdj(high, low, close, length=9, signal=3):
-    mean = lambda x: scan("adjusted_mean", [x], n=signal)[0]
-    k = mean(percent_k(high, low, close, length))
-    d = mean(k)
+    k = s.adjusted(percent_k(high, low, close, length), signal)
+    d = s.adjusted(k, signal)
     return {f"K_{length}_{signal}": k, f"D_{length}_{signal}": d, f"J_{length}_{signal}": 3.0 * k - 2.0 * d}
 
 

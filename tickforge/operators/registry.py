@@ -19,18 +19,23 @@ class Operator:
     defaults: dict = field(default_factory=dict)
 
     def outputs(self, columns: dict[str, str] | None = None, **params) -> dict[str, E]:
-        """The operator's outputs by canonical name. columns: which column an input is read from; unknown parameters
-        are errors. Common modifiers: offset (rows to shift by), fillna, prefix, suffix."""
+        """The operator's outputs by canonical name. columns: which column an input is read from; optional inputs
+        are used only if a parameter names their column (or is True); unknown parameters are errors. Common modifiers: offset (rows to shift by), fillna, prefix, suffix."""
         offset, fillna = params.pop("offset", 0), params.pop("fillna", None)
         prefix, suffix = params.pop("prefix", None), params.pop("suffix", None)
         columns = dict(columns or {})
-        for name in (*self.inputs, *self.optional):
+        extra = {}
+        for name in self.optional:
+            wanted = params.pop(name, None)
+            if wanted is not None and wanted is not False:
+                extra[name] = columns.get(name, name) if wanted is True else wanted
+        for name in self.inputs:
             if name in params:
                 columns[name] = params.pop(name)
         unknown = set(params) - set(self.defaults)
         if unknown:
             raise TypeError(f"{self.kind} has no parameter {', '.join(sorted(unknown))}")
-        given = {n: _input(columns.get(n, n)) for n in self.inputs} | {n: _input(columns[n]) for n in self.optional if columns.get(n)}
+        given = {n: _input(columns.get(n, n)) for n in self.inputs} | {n: _input(c) for n, c in extra.items()}
         out = self.build(**given, **params)
         if offset:
             out = {k: v.lag(offset) for k, v in out.items()}

@@ -3,7 +3,7 @@
 import math
 
 from ..functions import series as s
-from ..plans.expr import NULL, ROW, E, flag, fn, roll, scan, where
+from ..plans.expr import NULL, ROW, E, cum, flag, fn, roll, scan, where
 from .cycle import flexed
 from .registry import operator
 
@@ -94,7 +94,10 @@ def cksp(high, low, close, p=10, x=3, q=20, mamode="rma"):
 @operator("trend")
 def decay(close, length=1, mode="linear"):
     kind = "linear" if mode == "linear" else "exp"
-    return {f"{'L' if kind == 'linear' else 'EXP'}DECAY_{length}": scan("ratchet_decay", [close], length=length, mode=kind)[0]}
+    if kind == "linear":
+        # Falling by 1/n a row from the highest so far is a running maximum of values raised by their row.
+        return {f"LDECAY_{length}": fn("smax", cum("max", close + ROW / float(length)) - ROW / float(length), 0)}
+    return {f"EXPDECAY_{length}": scan("ratchet_decay", [close], length=length)[0]}
 
 
 def _monotone(name: str, sign: int):

@@ -11,6 +11,8 @@ import math
 
 WINDOW_OPS = {"lag", "roll", "dot", "cum", "ffill", "rownum"}
 RECURSIVE_OPS = {"ewm", "scan", "pick"}
+#: Nodes whose values are true or false.
+BOOLEAN_OPS = {"lt", "le", "gt", "ge", "eq", "and", "or", "not", "isnull"}
 
 
 class E:

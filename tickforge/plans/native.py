@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expr import RECURSIVE_OPS, WINDOW_OPS, E, Stepper, looks_ahead, recursive, topological
+from .expr import BOOLEAN_OPS, RECURSIVE_OPS, WINDOW_OPS, E, Stepper, looks_ahead, recursive, topological
 from .vector import evaluate
 
 #: Rows of one series that the Python pass holds. Longer series go on bar by bar with carried state.
@@ -127,6 +127,8 @@ def compile_native(df: DataFrame, nodes: list[E], have: dict[str, str], keys: li
     stored = dict(have)
 
     def get(n: E) -> Column:
+        if n.key in have and n.op in BOOLEAN_OPS:
+            return F.col(f"`{have[n.key]}`") == 1.0  # the Python pass gives doubles
         if n.key in stored:
             return F.col(f"`{stored[n.key]}`")
         if n.op == "col":
@@ -180,19 +182,20 @@ def plan(df: DataFrame, outputs: dict[str, E], keys: list[str], order: list[str]
     df = df.select(*[F.col(f"`{c}`") for c in passing], *[cols[k].cast("double").alias(names[k]) for k in edge])
     results = {k: number.setdefault(k, f"_n{len(number)}") for k in wanted}
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in passing], *[f"`{c}` double" for c in results.values()]])
-    run = _series_pass(list(wanted.values()), list(results.values()), names, keys, list(passing))
+    flags = {k for k, n in edge.items() if n.op in BOOLEAN_OPS}
+    run = _series_pass(list(wanted.values()), list(results.values()), names, flags, keys, list(passing))
     df = df.repartition(*keys).sortWithinPartitions(*keys, *order) if keys else df.coalesce(1).sortWithinPartitions(*order)
     df = df.mapInPandas(run, schema)
     df, cols = compile_native(df, nodes, results, keys, order, number)
     return df.select(*[F.col(f"`{c}`") for c in keep], *[cols[n.key].alias(name) for name, n in outputs.items()])
 
 
-def _series_pass(nodes: list[E], results: list[str], names: dict[str, str], keys: list[str], passing: list[str]):
+def _series_pass(nodes: list[E], results: list[str], names: dict[str, str], flags: set[str], keys: list[str], passing: list[str]):
     """Series arrive one after the other in order. Each is evaluated at once while it is of WHOLE_ROWS at most;
     a longer one is stepped through with its state carried from batch to batch, so no series need fit in memory."""
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        given = {k: rows[c].to_numpy(dtype=float) for k, c in names.items()}
+        given = {k: rows[c].to_numpy(dtype=float) == 1.0 if k in flags else rows[c].to_numpy(dtype=float) for k, c in names.items()}
         values = evaluate(nodes, {}, given)
         new = pd.DataFrame({c: v.astype(float) for c, v in zip(results, values, strict=True)}, index=rows.index)
         return pd.concat([rows[passing], new], axis=1)
