@@ -175,18 +175,22 @@ def plan(df: DataFrame, outputs: dict[str, E], keys: list[str], order: list[str]
         edge |= {n.key: n for n in nodes if n.op in ("col", "lit")}
     wanted = {n.key: n for n in nodes if n.key in feeds} | {a.key: a for n in after for a in n.args if a.key in feeds}
     wanted = {k: n for k, n in wanted.items() if n.op != "scan"}
-    # Native inputs of what comes after the pass are made before it only if it needs them; columns are cheap to redo.
-    df, cols = compile_native(df, list(edge.values()), {}, keys, order, number)
+    # Native windows that outputs or later nodes need are made before the pass too and carried through it: after it, only
+    # windows over its own results cost another exchange.
+    needed = {n.key: n for n in nodes if n.key not in deep} | {a.key: a for n in after for a in n.args if a.key not in deep}
+    carried = {k: n for k, n in needed.items() if k not in edge and any(x.op in WINDOW_OPS for x in topological([n]))}
+    df, cols = compile_native(df, [*edge.values(), *carried.values()], {}, keys, order, number)
     passing = dict.fromkeys([*keys, *order, *keep, *[x.p[0] for n in nodes for x in topological([n]) if x.op == "col"]])
     names = {k: number.setdefault(k, f"_n{len(number)}") for k in edge}
-    df = df.select(*[F.col(f"`{c}`") for c in passing], *[cols[k].cast("double").alias(names[k]) for k in edge])
+    df = df.select(*[F.col(f"`{c}`") for c in passing], *[cols[k].cast("double").alias(names[k]) for k in edge], *[cols[k].cast("double").alias(number.setdefault(k, f"_n{len(number)}_")) for k in carried])
+    through = {k: number[k] for k in (*carried, *[k for k in edge if k in needed])}
     results = {k: number.setdefault(k, f"_n{len(number)}") for k in wanted}
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in passing], *[f"`{c}` double" for c in results.values()]])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in passing or f.name in through.values()], *[f"`{c}` double" for c in results.values()]])
     flags = {k for k, n in edge.items() if n.op in BOOLEAN_OPS}
-    run = _series_pass(list(wanted.values()), list(results.values()), names, flags, keys, list(passing))
+    run = _series_pass(list(wanted.values()), list(results.values()), names, flags, keys, [*passing, *through.values()])
     df = df.repartition(*keys).sortWithinPartitions(*keys, *order) if keys else df.coalesce(1).sortWithinPartitions(*order)
     df = df.mapInPandas(run, schema)
-    df, cols = compile_native(df, nodes, results, keys, order, number)
+    df, cols = compile_native(df, nodes, results | through, keys, order, number)
     return df.select(*[F.col(f"`{c}`") for c in keep], *[cols[n.key].alias(name) for name, n in outputs.items()])
 
 
