@@ -12,7 +12,7 @@ import pytest
 import tickforge.operators  # noqa: F401
 from tickforge.functions import series as s
 from tickforge.operators.registry import REGISTRY, categories
-from tickforge.plans.expr import Stepper, cum, topological
+from tickforge.plans.expr import E, Stepper, col, cum, scan, topological
 from tickforge.plans.queries import OUTPUTS
 from tickforge.plans.sql import NotInSQL, sql
 from tickforge.plans.study import COMMON, Bars, Study, all_study, category_study
@@ -306,7 +306,7 @@ def test_sql_equals_spark_and_arrays():
                 big = np.abs(np.nan_to_num(v)).max()
                 close_to(got[got.symbol == k][name].to_numpy(dtype=float), v, 1e-5 if big < 1e4 else 1e-2 if big < 1e8 else 50)
         done += 1
-    assert done > 100
+    assert done > 140
 
 
 def test_resume_in_parts_equals_one_run(spark):
@@ -388,3 +388,17 @@ def test_nulls_and_periods():
     x = cum("sum", s.gap(tickforge.plans.expr.col("close"), 0.0))
     assert math.isnan(Stepper([x]).step({"close": None})[0])
     assert tickforge.plans.expr.period_of(datetime.datetime(2024, 3, 31, tzinfo=datetime.UTC).timestamp(), "M") == 2024 * 12 + 2
+
+
+def test_sql_steps_equal_kernels_with_missing_values():
+    pdf = bars(90, 5, ("a", "b"))
+    pdf.loc[pdf.index % 90 < 4, "close"] = np.nan
+    con = duckdb.connect()
+    con.register("bars", pdf)
+    out = {"decay": scan("ratchet_decay", [col("close")], length=5)[0], "first": scan("adaptive", [col("close"), E("lit", (), (0.3,)), col("open")], start=6)[0], "zero": scan("adaptive", [col("open"), E("lit", (), (0.3,)), E("lit", (), (None,))], start=2, zero=0.0)[0]}
+    out |= {f"bands_{i}": x for i, x in enumerate(scan("super_trend", [col("close"), col("low"), col("high")], 4, length=3))}
+    got = con.sql(sql("SELECT * FROM bars", out, ["symbol"], ["ts"])).df().sort_values(["symbol", "ts"])
+    for k in "ab":
+        theirs = pdf[pdf.symbol == k].reset_index(drop=True)
+        for name, v in zip(out, evaluate(list(out.values()), columns(theirs), {}), strict=True):
+            close_to(got[got.symbol == k][name].to_numpy(dtype=float), v, 1e-5)

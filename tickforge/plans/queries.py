@@ -28,7 +28,8 @@ def _rounded(df: DataFrame, keep: list[str]) -> DataFrame:
     def figure(c: str):
         x = F.col(f"`{c}`").cast("double")
         near, mid, far = F.round(x + 3e-8, DIGITS), F.round(x + 3e-4, DIGITS - 4), F.round(x + 3.0, DIGITS - 8)
-        return (F.when(F.abs(x) < 1e4, near).when(F.abs(x) < 1e8, mid).when(F.abs(x) < 1e300, far) + F.lit(0.0)).alias(c)
+        huge = F.format_string("%.8e", x).try_cast("double")
+        return (F.when(F.abs(x) < 1e4, near).when(F.abs(x) < 1e8, mid).when(F.abs(x) < 1e15, far).when(F.abs(x) < 1e300, huge) + F.lit(0.0)).alias(c)
 
     return df.select(*keep, *[figure(c) for c in df.columns if c not in keep])
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .expr import RECURSIVE_OPS, WINDOW_OPS, E, topological
+from .sql_steps import STEPS
 
 
 class NotInSQL(ValueError):
-    """The graph holds a scan kernel."""
+    """The graph holds a scan kernel without a step in SQL."""
 
 
 def _p(n: E, a: list[str]) -> str:
@@ -66,18 +67,19 @@ def _w(n: E, a: list[str], keys: str, order: str) -> str:
 
 
 def rounded(x: str, digits: int) -> str:
-    """Rounded so that figures of two engines agree: large values to fewer places, and by a shift off exact ties."""
-    far = [(1e4, digits, 3e-8), (1e8, digits - 4, 3e-4), (1e300, digits - 8, 3.0)]
+    """Rounded so that figures of two engines agree: large values to fewer places, and by a shift off exact ties; the
+    largest to nine significant digits."""
+    far = [(1e4, digits, 3e-8), (1e8, digits - 4, 3e-4), (1e15, digits - 8, 3.0)]
     cases = " ".join(f"WHEN abs({x}) < {top!r} THEN round({x} + {shift!r}, {d})" for top, d, shift in far)
-    return f"CASE {cases} END + 0.0"
+    return f"CASE {cases} WHEN abs({x}) < 1e300 THEN TRY_CAST(printf('%.8e', {x}) AS DOUBLE) END + 0.0"
 
 
 def sql(base: str, outputs: dict[str, E], keys: list[str], order: list[str], digits: int = 6) -> str:
     """A query over `base` (SQL with the series' columns) for keys, order and the rounded outputs."""
     nodes = topological(list(outputs.values()))
-    if any(n.op == "scan" for n in nodes):
+    if any(n.op == "scan" and n.p[0] not in STEPS for n in nodes):
         raise NotInSQL
-    deep = WINDOW_OPS | (RECURSIVE_OPS - {"scan", "pick"})
+    deep = WINDOW_OPS | (RECURSIVE_OPS - {"pick"})
     level: dict[str, int] = {}
     for n in nodes:
         level[n.key] = max([level[a.key] for a in n.args], default=0) + (n.op in deep)
@@ -89,6 +91,8 @@ def sql(base: str, outputs: dict[str, E], keys: list[str], order: list[str], dig
     def get(n: E) -> str:
         if n.key in stored:
             return stored[n.key]
+        if n.op == "pick":
+            return f"{stored[n.args[0].key]}_o{n.p[0]}"
         return f'"{n.p[0]}"' if n.op == "col" else _p(n, [get(a) for a in n.args])
 
     def add(items: list[str], tag: str) -> None:
@@ -125,5 +129,20 @@ def sql(base: str, outputs: dict[str, E], keys: list[str], order: list[str], dig
             ctes.append(f"j{depth} AS (SELECT t.*, {', '.join(f'r.{c}' for c in names)} FROM {last} t JOIN e{depth} r ON t._rn = r._rn AND {' AND '.join(f't."{c}" IS NOT DISTINCT FROM r."{c}"' for c in keys)})")
             last = f"j{depth}"
             stored |= {n.key: c for n, c in zip(means, names, strict=True)}
+        for n in (n for n in here if n.op == "scan"):
+            c, (state, f), p = f"c{len(stored)}", STEPS[n.p[0]], dict(n.p[1])
+            inputs = [f"i{c}_{j}" for j in range(len(n.args))]
+            ctes.append(f"x{c} AS MATERIALIZED (SELECT {k}, _rn, {', '.join(f'CAST({get(a)} AS DOUBLE) AS {x}' for a, x in zip(n.args, inputs, strict=True))} FROM {last})")
+
+            def row(last_state: dict[str, str]) -> str:
+                after, outs = f(last_state, [f"s.{x}" for x in inputs], "s._rn", p)
+                made = [f"{v if state[q].endswith('[])') else f'CAST({v} AS DOUBLE)'} AS {c}_{q}" for q, v in after.items()]
+                return ", ".join([*[f's."{q}"' for q in keys], "s._rn", *made, *[f"CAST({v} AS DOUBLE) AS {c}_o{j}" for j, v in enumerate(outs)]])
+
+            same = " AND ".join(f's."{q}" IS NOT DISTINCT FROM r."{q}"' for q in keys)
+            ctes.append(f"s{c} AS (SELECT {row(state)} FROM x{c} s WHERE s._rn = 1 UNION ALL SELECT {row({q: f'r.{c}_{q}' for q in state})} FROM s{c} r JOIN x{c} s ON s._rn = r._rn + 1 AND {same})")
+            ctes.append(f"j{c} AS (SELECT s.*, r.* EXCLUDE ({k}, _rn) FROM {last} s JOIN s{c} r ON s._rn = r._rn AND {same})")
+            last = f"j{c}"
+            stored[n.key] = c
     out = ", ".join(f'{rounded(f"CAST({get(n)} AS DOUBLE)", digits)} AS "{name}"' for name, n in outputs.items())
     return f"WITH RECURSIVE {', '.join(ctes)} SELECT {k}, {o}, {out} FROM {last}"
