@@ -137,6 +137,10 @@ def oracles() -> dict[str, str]:
     price = "least(9, greatest(0, ceil((close - lo) * 10 / (hi - lo)) - 1))"
     for name, bucket in (("ta_vp", rows), ("ta_vp_sorted", price)):
         out[name] = f"{b}, q AS (SELECT *, {signed} FROM b), z AS (SELECT *, CAST({bucket} AS INTEGER) AS bucket FROM q) SELECT symbol, bucket, {figures} FROM z GROUP BY symbol, bucket"
+    mid = lambda n: f"(max(high) OVER (p ROWS {n - 1} PRECEDING) + min(low) OVER (p ROWS {n - 1} PRECEDING)) / 2"
+    spans = f"CASE WHEN i >= 26 THEN ({mid(9)} + {mid(26)}) / 2 END AS sa, CASE WHEN i >= 52 THEN {mid(52)} END AS sb"
+    days = "SELECT symbol, d, row_number() OVER (PARTITION BY symbol ORDER BY d) AS k FROM (SELECT symbol, CAST(max(ts) AS DATE) + CAST(unnest(range(1, 53)) AS INTEGER) AS d FROM b GROUP BY symbol) WHERE isodow(d) < 6"
+    out["ta_ichimoku_forward"] = f"{b}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM b), v AS (SELECT symbol, i, n, {spans} FROM i WINDOW p AS (PARTITION BY symbol ORDER BY ts)), f AS ({days}) SELECT f.symbol, d AS date, {r('sa', 'ISA_9')}, {r('sb', 'ISB_26')} FROM f LEFT JOIN v ON v.symbol = f.symbol AND v.i = greatest(n - 25, 0) + k WHERE k < 26"
     out["frame_resample"] = f"{b} SELECT symbol, date_trunc('day', ts) AS ts, {r('arg_min(open, b.ts)', 'open')}, {r('max(high)', 'high')}, {r('min(low)', 'low')}, {r('arg_max(close, b.ts)', 'close')}, {r('sum(volume)', 'volume')} FROM b GROUP BY symbol, date_trunc('day', ts)"
     out["frame_baseline"] = f"{b} SELECT symbol, ts, {', '.join(r(f'100.0 * {c} / nullif(nth_value({c}, 4) OVER w, 0)', c) for c in ('open', 'high', 'low', 'close'))}, {r('volume', 'volume')} FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     out["frame_total_time"] = f"{b} SELECT symbol, {r('CAST(epoch(max(ts)) - epoch(min(ts)) AS DOUBLE) / 86400', 'total_time')} FROM b GROUP BY symbol"
