@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -138,6 +139,40 @@ def test_near_duplicates(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each_group(empty).count() == 0
 
 
+def five_word_sets(texts):
+    out = []
+    for t in texts:
+        ws = (t or "").lower().split()
+        out.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set())
+    return out
+
+
+def test_near_dedup_stage_drops_edited_copies(spark, docs, rows, empty):
+    r = random.Random(12)
+    texts = [text_of("en", 150, 500 + i) for i in range(12)]
+    for i in range(12):
+        chain = texts[i]
+        for k in range(14):
+            ws = (chain if k > 7 else texts[i]).split()
+            for _ in range(1 + k % 8):
+                ws[r.randrange(len(ws))] = f"edit{r.randrange(10**6)}"
+            chain = " ".join(ws)
+            texts.append(chain)
+    texts += [texts[0].upper(), "one two", "One  two", "one three", None, "", texts[3] + " " + texts[4], "a b c d e f g h i j", "a b c d e f g h i k"]
+    sets, group = five_word_sets(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert kept == set(group) and 20 < len(kept) < len(texts) - 60
+    ids = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert ids.count(7) == 1 and ids.count(None) == 1 and 5 in ids and not set(ids) & {*range(200, 208), 302, 303}
+    assert corpus_pipeline.drop_near_duplicates(spark, empty, "").columns == docs.columns and corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
+
+
 # ---- decontamination
 
 

@@ -1,6 +1,6 @@
 """SimHash near-duplicates: 64-bit fingerprints linked within a Hamming radius by BK-trees."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,6 +44,11 @@ def fingerprint_of(text: str | None) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
+def signed_fingerprint(text: str | None) -> int:
+    x = fingerprint_of(text)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [fingerprint_of(t.as_py()) for t in batch.column(1)]
@@ -229,10 +234,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(per_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least doc_id stays, with all its columns.
-    Rows that repeat that id are cut to one. Components of null ids only keep all their rows."""
-    found = materialize(near_duplicates(docs), "near-duplicates")
+def one_of_each_group(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates, key_of: Callable[[str | None], int] = signed_fingerprint) -> DataFrame:
+    """docs without near-duplicates as `find` groups them: of each component the row with the least doc_id stays, with
+    all its columns. Rows that repeat that id are cut to one. Components of null ids only keep all their rows; key_of
+    gives a text the fp that `find` gives it."""
+    found = materialize(find(docs), "near-duplicates")
     firsts = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_first_id")).agg(F.count("*").alias("_first_n"))
     out = docs.join(firsts, docs["doc_id"].cast("long") == F.col("_first_id"), "left_semi")
     repeated = firsts.filter("_first_n > 1")
@@ -244,13 +250,16 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     if lost.limit(1).count():
         fps = lost.select("fp").distinct()
         unnamed = docs.filter("doc_id is null")
-        tagged = unnamed.withColumn("_fp", F.pandas_udf(_fp_series, "long")(F.col("text").cast("string")))
+        tagged = unnamed.withColumn("_fp", F.pandas_udf(_key_series(key_of), "long")(F.col("text").cast("string")))
         out = out.union(tagged.join(fps.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").select(*docs.columns))
     return out
 
 
-def _fp_series(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint_of).map(lambda x: x - (1 << 64) if x >> 63 else x)
+def _key_series(key_of: Callable[[str | None], int]):
+    def keys(texts: pd.Series) -> pd.Series:
+        return texts.map(key_of)
+
+    return keys
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
