@@ -440,6 +440,27 @@ def test_pii_finds_by_context(spark):
     assert not any(got[200 + i].added for i in range(6))
 
 
+def test_pii_finds_unseen_forms_and_seeds_further_patterns(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, f"{fill(5)} please call me +1 (5{i:02d}) 555-10{i:02d} or {fill(5)}") for i in range(20)]
+    rows += [(50 + i, f"{fill(5)} please mail me user{i}@example.com or {fill(5)}") for i in range(20)]
+    rows += [(80 + i, f"{fill(5)} the host is 10.1.2.{i} and {fill(5)}") for i in range(20)]
+    found = {"phone": ("please call me", ["555 123 4567", "(555) 123-4568", "555.123.4569", "555-123-4560"]), "email": ("please mail me", ["jane.doe@intranet"]), "ip": ("the host is", ["10.0.0.x"])}
+    want = {}
+    for kind, (lead, forms) in found.items():
+        for form in forms:
+            want[100 + len(want)] = (kind, form, f"{fill(5)} {lead} {form} {'and' if kind == 'ip' else 'or'} {fill(5)}")
+    for form in [*found["phone"][1], "777 88 99"]:  # no base entity stands here
+        want[100 + len(want)] = ("phone", form, f"{fill(5)} after hours ring {form} {fill(5)}")
+    rows += [(i, t) for i, (_, _, t) in want.items()]
+    rows += [(200 + i, f"{fill(9)} order number 99887{i}66{i} shipped {fill(5)}") for i in range(6)]
+    got = {g.doc_id: g for g in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: [(s.kind, t[s.start : s.end]) for s in got[i].added] for i, (_, _, t) in want.items()} == {i: [(k, f)] for i, (k, f, _) in want.items()}
+    assert not any(got[i].added for i in (*range(100), *range(200, 206)) if i in got)
+
+
 def test_url_filter(spark):
     entries = [("bad.com", "block", "2024-01-10"), ("bad.com", "remove", "2024-02-10"), ("ok.bad.com", "allow", "2024-01-01"), ("bad.com", "block", "2024-01-10"), ("two.org", "allow", "2024-03-01"), ("two.org", "block", "2024-03-01"), (None, "block", "2024-01-01"), ("x.com", None, "2024-01-01")]
     rows = [(1, "http://bad.com/a", "2024-01-09"), (2, "http://www.BAD.com:80/a", "2024-01-10"), (3, "https://u@ok.bad.com/", "2024-01-20"), (4, "http://bad.com", "2024-02-10"), (5, "http://two.org.", "2025-03-01"), (6, None, "2024-01-20"), (7, "http://bad.com", None), (8, "nonsense", "2024-01-20"), (2, "http://www.BAD.com:80/a", "2024-01-10"), (9, "http://notbad.com", "2024-01-20")]

@@ -14,16 +14,18 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # Identifiers of unknown form: a token of these characters that holds a digit.
-    "other": r"(?<![A-Za-z0-9@._%+-])[A-Za-z@._%+-]*+[0-9][A-Za-z0-9@._%+-]*+",
+    # Identifiers of unknown form: groups of digits joined by blanks, brackets, dots or hyphens, and a token of these
+    # characters that holds a digit or an @ (neither ends in punctuation).
+    "group": r"(?<![A-Za-z0-9@._%+-])[+(]{0,2}+[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++(?:[._%+-]*+[A-Za-z0-9@]++)*+",
+    "other": r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[._%+-]*+[A-Za-z0-9@]++(?:[._%+-]++[A-Za-z0-9@]++)*+",
 }
-#: Digits that a token of unknown form needs.
-MIN_DIGITS = 6
 #: Code points on either side of an entity in which its two words of context stand.
 CONTEXT = 64
 #: A pattern counts from this many different seeds, and finds identifiers from this score on.
 MIN_SEEDS = 3
 MIN_SCORE = 0.6
+#: An identifier found with this certainty is a seed for further patterns.
+MIN_SURE = 0.8
 #: Weight of doubt in a pattern's score.
 PRIOR = 1.0
 ROUNDS = 3
@@ -48,8 +50,6 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when(n.between(16, 19), _luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return n.between(8, 15)
-    if kind == "other":
-        return n >= MIN_DIGITS
     return F.lit(True)
 
 
@@ -74,28 +74,32 @@ def _scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     digit = F.col("text").rlike("[0-9]")
-    gates = {"email": F.contains("text", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("text", F.lit("+")), "other": digit}
+    gates = {"email": F.contains("text", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("text", F.lit("+")), "group": digit, "other": digit | F.contains("text", F.lit("@"))}
     rows = rows.select("doc_id", F.concat(*[_found(F.col("text"), k, g) for k, g in gates.items()]).alias("found"))
     return rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "found")
 
 
 def _spans(scanned: DataFrame) -> DataFrame:
     """One row for each valid match: uid, kind, rank, start, end, value, before, after. `other` only where it does
-    not touch a known entity. Rows of a document are brought together once; all windows keep that partitioning."""
+    not touch a known entity, and a group of digits before the tokens within it. Rows of a document are brought together once; all windows keep that partitioning."""
     rows = scanned.filter(F.size("found") > 0).select("uid", F.explode("found").alias("f")).select("uid", "f.*")
     order = Window.partitionBy("uid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.repartition("uid").withColumn("end", F.sum(F.col("gap") + F.length("m")).over(order)).withColumn("start", F.col("end") - F.length("m"))
     valid = F.lit(False)
-    for kind in (*KINDS, "other"):
+    for kind in PATTERNS:
         valid = F.when(F.col("kind") == kind, _valid(kind, F.col("m"))).otherwise(valid)
-    rows = rows.filter(valid).withColumn("known", F.col("kind") != "other")
+    rows = rows.filter(valid).withColumn("known", F.col("kind").isin(*KINDS))
     by = Window.partitionBy("uid").orderBy("start")
     reach = F.max(F.when(F.col("known"), F.col("end"))).over(by.rangeBetween(Window.unboundedPreceding, 0))
     ahead = F.min(F.when(F.col("known"), F.col("start"))).over(by.rangeBetween(0, Window.unboundedFollowing))
     rows = rows.withColumns({"_reach": reach, "_ahead": ahead})
     clear = (F.coalesce("_reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("_ahead", F.col("end")) >= F.col("end"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    return rows.filter(F.col("known") | clear).select("uid", "kind", rank.cast("int").alias("rank"), "start", "end", F.lower("m").alias("value"), "before", "after")
+    rows = rows.filter(F.col("known") | clear)
+    grouped = F.max(F.when(F.col("kind") == "group", F.col("end"))).over(by.rangeBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_grouped", grouped).filter((F.col("kind") != "other") | (F.coalesce("_grouped", F.lit(-1)) <= F.col("start")))
+    rows = rows.withColumn("kind", F.when(F.col("known"), F.col("kind")).otherwise("other"))
+    return rows.select("uid", "kind", rank.cast("int").alias("rank"), "start", "end", F.lower("m").alias("value"), "before", "after")
 
 
 def _patterns() -> Column:
@@ -115,18 +119,32 @@ def _score_patterns(edges: DataFrame) -> DataFrame:
 
     A seed is certain to be of its kind; a pattern's score for a kind is the certainty of its instances over their
     number plus PRIOR; an unknown instance is as certain as its best pattern. The two are computed in turn, as joins
-    of grouped sums."""
-    # Patterns without enough different seeds can never count, nor pass certainty on.
-    seeded = edges.filter("kind <> 'other'").groupBy("pattern", F.col("kind").alias("of")).agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
+    of grouped sums. Instances of MIN_SURE or more then count as seeds, until no further ones come: each generation's
+    finds can make patterns that no entity of known form stands in."""
+    known = edges.filter("kind <> 'other'").groupBy("pattern", F.col("kind").alias("of")).agg(F.count("*").alias("seeds"))
+    known = materialize(known.select("pattern", "of", "seeds", F.col("seeds").cast("double").alias("certain"), F.col("seeds").alias("base")), "seeds")
+    others = edges.filter("kind = 'other'").select("pattern", "value")
     sizes = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-    base = materialize(seeded.join(sizes, "pattern").withColumn("score", F.col("seeds") / (F.col("n") + PRIOR)), "patterns")
-    unknown = materialize(edges.filter("kind = 'other'").select("pattern", "value").join(base.select("pattern").distinct(), "pattern", "left_semi"), "instances")
-    scores = base
-    for _ in range(ROUNDS):
+    votes, before = known, 0
+    while True:
+        # Patterns without enough different seeds cannot count, nor pass certainty on.
+        seeded = votes.groupBy("pattern", "of").agg(F.sum("seeds").alias("seeds"), F.sum("certain").alias("certain"), F.sum("base").alias("base")).filter(F.col("seeds") >= MIN_SEEDS)
+        base = materialize(seeded.join(sizes, "pattern").withColumn("score", F.col("certain") / (F.col("n") + PRIOR)), "patterns")
+        unknown = materialize(others.join(base.select("pattern").distinct(), "pattern", "left_semi"), "instances")
+        scores = base
+        for _ in range(ROUNDS):
+            certain = unknown.join(scores.select("pattern", "of", "score"), "pattern").groupBy("value", "of").agg(F.max("score").alias("sure"))
+            gained = unknown.join(certain, "value").groupBy("pattern", "of").agg(F.sum("sure").alias("gain"))
+            scores = base.drop("score").join(gained, ["pattern", "of"], "left").withColumn("score", (F.col("base") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + PRIOR))
+            scores = materialize(scores.withColumn("score", F.round("score", 9)), "scores")
         certain = unknown.join(scores.select("pattern", "of", "score"), "pattern").groupBy("value", "of").agg(F.max("score").alias("sure"))
-        gained = unknown.join(certain, "value").groupBy("pattern", "of").agg(F.sum("sure").alias("gain"))
-        scores = base.drop("score").join(gained, ["pattern", "of"], "left").withColumn("score", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + PRIOR))
-        scores = materialize(scores.withColumn("score", F.round("score", 9)), "scores")
+        sure = materialize(certain.filter(F.col("sure") >= MIN_SURE), "sure")
+        now = sure.count()
+        if now <= before:
+            break
+        before = now
+        gain = others.join(sure, "value").groupBy("pattern", "of").agg(F.count("*").alias("seeds"), F.sum("sure").alias("certain"))
+        votes = known.unionByName(gain.withColumn("base", F.lit(0).cast("long")))
     return scores.select("pattern", F.col("of").alias("kind"), "score")
 
 
