@@ -211,6 +211,14 @@ def test_contaminated(spark, docs, rows, block_bytes):
     assert decontam.drop_contaminated(docs, spark.createDataFrame([], BENCH)).count() == len(rows)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_items_without_id_contaminate(spark, block_bytes):
+    items = [(None, text_of("en", 20, 1)), (None, text_of("en", 20, 2)), (7, text_of("en", 20, 3))]
+    df = spark.createDataFrame([(i, f"before {t} after") for i, (_, t) in enumerate(items)] + [(3, "clean")], "doc_id long, text string")
+    got = {g.doc_id: (g._leak.n_hit, list(g._leak["items"])) for g in decontam.contaminated(df, spark.createDataFrame(items, BENCH), block_bytes).collect()}
+    assert got == {0: (20, []), 1: (20, []), 2: (20, ["7"]), 3: (0, [])}
+
+
 def test_winnow_guarantee():
     r = np.random.default_rng(4)
     h = r.integers(0, 1 << 40, 500).astype(np.uint64)

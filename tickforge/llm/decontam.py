@@ -64,9 +64,9 @@ class Index:
     """The windows of a bounded block of items. windows[n]: the distinct windows of n words, their hashes sorted
     (n below WINDOW only for items that are shorter), each with the items that have it."""
 
-    def __init__(self, items: list[tuple[str, str | None]]) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]]) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.items = sorted({i for i, _ in items})
+        self.items = sorted({i for i, _ in items if i is not None})
         number = {i: k for k, i in enumerate(self.items)}
         found: dict[int, dict[tuple[int, ...], set[int]]] = {}
         prints: set[int] = set()
@@ -77,7 +77,9 @@ class Index:
             n = min(len(ids), WINDOW)
             here = found.setdefault(n, {})
             for at in range(len(ids) - n + 1):
-                here.setdefault(tuple(ids[at : at + n]), set()).add(number[item])
+                owners = here.setdefault(tuple(ids[at : at + n]), set())
+                if item is not None:
+                    owners.add(number[item])
             if n == WINDOW:
                 h = _grams(np.array(ids, dtype=np.int32), GRAM)
                 prints.update(h[winnow(h, WINDOW - GRAM + 1)].tolist())
@@ -187,13 +189,13 @@ def scan(index: Index, texts: list[str | None]) -> tuple[list[int], list[np.ndar
     return counts, [np.unique(np.concatenate(h)) if h else none for h in hits], [sorted(index.items[i] for i in s) for s in items]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, int, list[tuple[str, str | None]]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, int, list[tuple[str | None, str | None]]]]:
     """The items in blocks of about block_bytes, one at a time: (number, of how many, items)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for b in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         yield b, n, [(r.item_id, r.text) for r in part.collect()]
 
 
@@ -214,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     The benchmark's bytes are counted first. Up to block_bytes, one index goes to the workers and one pass over
     the texts finds all; beyond, each block of items gets a pass of its own and the hits are united by document,
     so no more than a block is ever on the driver or a worker. Null or wordless texts have no words and no hits.
-    Items with a null id or text, or without words, have no windows. Repeated documents or items change nothing
+    Items with a null text or without words have no windows; those with a null id hit, but are not listed. Repeated documents or items change nothing
     for others; other columns pass through."""
     bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
