@@ -479,6 +479,13 @@ def test_url_filter(spark):
     assert {g["_verdict"] for g in url_filter.judge(pages, spark.createDataFrame([], "list_key string, action string, effective string"), F.col("at")).collect()} == {"allow"}
 
 
+def test_url_filter_holds_in_far_years(spark):
+    entries = spark.createDataFrame([("a.com", "block", "2024-01-01"), ("b.com", "block", "2150-01-01"), ("c.com", "block", "2400-01-01")], "list_key string, action string, effective string")
+    pages = spark.createDataFrame([("http://a.com", "2101-05-05"), ("http://b.com", "2150-06-01"), ("http://b.com", "2149-12-31"), ("http://c.com", "2300-01-01")], "url string, at string")
+    got = {(g.host, str(g.fetch_date)): g.verdict for g in url_filter.judge(pages, entries, F.col("at")).collect()}
+    assert got == {("a.com", "2101-05-05"): "block", ("b.com", "2150-06-01"): "block", ("b.com", "2149-12-31"): "allow", ("c.com", "2300-01-01"): "allow"}
+
+
 HTML = "<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{x}</style><script>var a='</p>';</script></head><body><!-- no --><p>One <b>two</b> 3 &lt; 4<br>five</p><div>é</div><p>unclosed <script>evil"
 
 

@@ -53,8 +53,10 @@ def judge(pages: DataFrame, entries: DataFrame, fetched: Column) -> DataFrame:
     labels = F.split("h", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keyed = seen.select("h", "d", F.explode(suffixes).alias("k"), _period(F.col("d")).alias("p"))
-    valid = intervals(entries)
-    last = F.least(F.col("valid_to"), F.greatest(F.col("valid_from"), F.lit("2100-01-01").cast("date")))
+    # No interval is spread further than the last capture.
+    newest = F.lit(seen.agg(F.max("d")).first()[0]).cast("date")
+    valid = intervals(entries).filter(F.col("valid_from") <= newest)
+    last = F.least(F.col("valid_to"), F.date_add(newest, 1))
     spans = valid.withColumn("p", F.explode(F.sequence(_period(F.col("valid_from")), _period(F.greatest(F.col("valid_from"), F.date_sub(last, 1))))))
     spans = spans.select(F.col("list_key").alias("k"), "p", "action", "valid_from", "valid_to")
     active = keyed.join(spans, ["k", "p"]).filter("d >= valid_from and d < valid_to")
