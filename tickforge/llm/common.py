@@ -36,11 +36,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches to Python workers count rows, not bytes: whole texts go in batches of few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -63,3 +58,18 @@ def fresh_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = f"_{base}"
     return base
+
+
+def fresh_names(df: DataFrame, *bases: str) -> dict[str, str]:
+    """A column name for each base that df does not have."""
+    return {b: fresh_name(df, b) for b in bases}
+
+
+def same_columns(df: DataFrame) -> list[Column]:
+    """df's own columns, by quoted names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python workers count rows, not bytes: whole texts go in batches of few rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
