@@ -4,19 +4,18 @@ active when it was fetched. DataFrame functions only."""
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_name
+from .common import fresh_names, same_columns
 
-#: Intervals and captures meet by key and by period of this many days.
-PERIOD_DAYS = 32
 #: The end of an interval that no later entry closes.
 OPEN_END = "9999-12-31"
 FIRST_FETCH = "2024-01-01"
 FETCH_DAYS = 366
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@]*)"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host, without user, port or a trailing dot; null if there is none."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1)
+    """The lower-case host, without user, port or a trailing dot; an IPv6 host in its brackets; null if there is none."""
+    host = F.regexp_extract(url, HOST, 1)
     host = F.regexp_replace(F.lower(host), r"[.]+$", "")
     return F.when(host != "", host)
 
@@ -35,35 +34,45 @@ def intervals(entries: DataFrame) -> DataFrame:
     return out.select("list_key", F.when(F.col("_s") == 2, "block").otherwise("allow").alias("action"), "valid_from", "valid_to")
 
 
-def _period(day: Column) -> Column:
-    return F.floor(F.unix_date(day) / PERIOD_DAYS).cast("int")
+def as_of(captures: DataFrame, valid: DataFrame) -> DataFrame:
+    """captures: k, d (distinct keys and days); valid: intervals. Returns (k, d, action, valid_from): for each capture
+    the interval of its key that holds on its day, if there is one.
+
+    One pass in time order over the union of both: a capture takes the last interval that began by its day, and drops
+    it if that has ended. A key has a row a day and a row an interval, however many captures it has."""
+    begun = F.struct("action", "valid_from", "valid_to")
+    events = valid.select(F.col("list_key").alias("k"), F.col("valid_from").alias("d"), F.lit(0).alias("turn"), begun.alias("interval"))
+    asked = captures.select("k", "d", F.lit(1).alias("turn"), F.lit(None).cast(events.schema["interval"].dataType).alias("interval"))
+    so_far = Window.partitionBy("k").orderBy("d", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    met = events.union(asked).withColumn("interval", F.last("interval", ignorenulls=True).over(so_far))
+    return met.filter("turn = 1 and d < interval.valid_to").select("k", "d", "interval.action", "interval.valid_from")
 
 
 def judge(pages: DataFrame, entries: DataFrame, fetched: Column) -> DataFrame:
     """pages with columns host, fetch_date, verdict, list_key and valid_from (by fresh_name): the active entry of the
     longest key among a capture's host and its parent domains decides, and without one the verdict is `allow`.
 
-    Captures are first reduced to distinct hosts and days, so a host with a third of all captures is a few hundred
-    rows; hosts and days then meet the intervals by key and period. A capture without host or fetch time matches
-    nothing and is allowed. Repeated rows and other columns pass through; an empty table gives no rows, an empty list
-    allows all."""
-    n = {x: fresh_name(pages, x) for x in ("host", "fetch_date", "verdict", "list_key", "valid_from")}
+    Entries have dates, so the day of a fetch says as much as its time. Captures are first reduced to distinct hosts
+    and days, so a host with a third of all captures is a few hundred rows; of its parent domains only listed ones go
+    on, and meet their intervals as of the day. A capture without host or fetch time matches nothing and is allowed.
+    Repeated rows and other columns pass through; an empty table gives no rows, an empty list allows all."""
+    n = fresh_names(pages, "host", "fetch_date", "verdict", "list_key", "valid_from")
+    found = fresh_names(pages, "_found_h", "_found_d", "_found_b")
     tagged = pages.withColumns({n["host"]: host_of(F.col("url").cast("string")), n["fetch_date"]: fetched.cast("date")})
     seen = tagged.select(F.col(n["host"]).alias("h"), F.col(n["fetch_date"]).alias("d")).na.drop().distinct()
     labels = F.split("h", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = seen.select("h", "d", F.explode(suffixes).alias("k"), _period(F.col("d")).alias("p"))
-    # No interval is spread further than the last capture.
-    newest = F.lit(seen.agg(F.max("d")).first()[0]).cast("date")
-    valid = intervals(entries).filter(F.col("valid_from") <= newest)
-    last = F.least(F.col("valid_to"), F.date_add(newest, 1))
-    spans = valid.withColumn("p", F.explode(F.sequence(_period(F.col("valid_from")), _period(F.greatest(F.col("valid_from"), F.date_sub(last, 1))))))
-    spans = spans.select(F.col("list_key").alias("k"), "p", "action", "valid_from", "valid_to")
-    active = keyed.join(spans, ["k", "p"]).filter("d >= valid_from and d < valid_to")
+    valid = intervals(entries)
+    keyed = seen.select("h", "d", F.explode(suffixes).alias("k")).join(valid.select(F.col("list_key").alias("k")).distinct(), "k", "left_semi")
+    active = keyed.join(as_of(keyed.select("k", "d").distinct(), valid), ["k", "d"])
     best = active.groupBy("h", "d").agg(F.max(F.struct(F.length("k").alias("l"), F.col("k"), F.col("valid_from"), F.col("action"))).alias("b"))
-    best = best.select(F.col("h").alias("_h"), F.col("d").alias("_d"), F.col("b.action").alias("_a"), F.col("b.k").alias("_k"), F.col("b.valid_from").alias("_f"))
-    out = tagged.join(best, (F.col(n["host"]) == F.col("_h")) & (F.col(n["fetch_date"]) == F.col("_d")), "left")
-    return out.select(*pages.columns, n["host"], n["fetch_date"], F.coalesce("_a", F.lit("allow")).alias(n["verdict"]), F.col("_k").alias(n["list_key"]), F.col("_f").alias(n["valid_from"]))
+    best = best.select(F.col("h").alias(found["_found_h"]), F.col("d").alias(found["_found_d"]), F.col("b").alias(found["_found_b"]))
+    on = (F.col(n["host"]) == F.col(found["_found_h"])) & (F.col(n["fetch_date"]) == F.col(found["_found_d"]))
+    b = F.col(found["_found_b"])
+    return tagged.join(best, on, "left").select(
+        *same_columns(pages), n["host"], n["fetch_date"], F.coalesce(b["action"], F.lit("allow")).alias(n["verdict"]),
+        b["k"].alias(n["list_key"]), b["valid_from"].alias(n["valid_from"]),
+    )
 
 
 def fetch_date(page_id: Column) -> Column:
@@ -96,7 +105,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, list_from(pages), fetch_date(F.col("page_id"))).select("page_id", "host", "fetch_date", "verdict", "list_key", "valid_from")
 
 
-_HOST = "nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '[.]+$', ''), '')"
+_HOST = f"nullif(regexp_replace(lower(regexp_extract(url, '{HOST}', 1)), '[.]+$', ''), '')"
 ORACLE = f"""
 WITH p AS (SELECT page_id, {_HOST} AS host, DATE '2024-01-01' + CAST(((page_id % 366) + 366) % 366 AS INTEGER) AS fetch_date FROM pages),
 hs AS (SELECT DISTINCT host AS h, md5(host) AS m, array_to_string(string_split(host, '.')[-2:], '.') AS dom FROM p WHERE host IS NOT NULL),
