@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, fresh_name, materialize
+from .common import WORD, documents, fresh_name, fresh_names, materialize, same_columns
 
 LEVELS = ("domain", "language", "source")
 
@@ -14,7 +14,7 @@ LEVELS = ("domain", "language", "source")
 @dataclass(frozen=True)
 class Mix:
     """Whole-number weights, relative to siblings; the budget in percent of the tokens there are; the most epochs a
-    leaf may give. Names without a weight get `other`."""
+    leaf may give. Names without a weight get `other`. A weight of 0 switches a domain, language or source off."""
 
     domains: dict[str, int] = field(default_factory=lambda: {"web": 40, "news": 30, "forum": 20, "reference": 10})
     languages: dict[str, int] = field(default_factory=lambda: {"en": 50, "fr": 20, "de": 20, "es": 10})
@@ -77,18 +77,24 @@ def plan(slim: DataFrame, mix: Mix) -> DataFrame:
     epoch is found from token sums of 4096 hash buckets; only the bucket in which it ends is ordered row by row, so
     a leaf with a third of all rows is never in one task."""
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
-    leaves = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs)
     weights = {"domain": (mix.domains, "wd"), "language": (mix.languages, "wl"), "source": (mix.sources, "ws")}
+    off = F.lit(False)
     for level, (table, name) in weights.items():
+        off = off | (_weight(F.col(level), table, mix.other) <= 0)
         leaves = leaves.withColumn(name, F.greatest(F.lit(1), _weight(F.col(level), table, mix.other)))
-    langs = leaves.groupBy("domain", "language").agg(F.sum("capacity").alias("lang_capacity"), F.first("wl").alias("wl"), F.first("wd").alias("wd"))
-    domains = langs.groupBy("domain").agg(F.sum("lang_capacity").alias("domain_capacity"), F.first("wd").alias("wd"))
-    total = F.floor(F.sum("domain_capacity").over(Window.partitionBy(F.lit(0))) * mix.budget_percent / (100 * mix.max_epochs))
+    # What is switched off has no capacity, and its siblings share as if it were not there.
+    leaves = leaves.withColumn("off", off).withColumn("capacity", F.when(F.col("off"), 0).otherwise(F.col("tokens") * mix.max_epochs))
+    langs = leaves.groupBy("domain", "language").agg(
+        F.sum("tokens").alias("lang_tokens"), F.sum("capacity").alias("lang_capacity"), F.first("wl").alias("wl"), F.first("wd").alias("wd"),
+    )
+    domains = langs.groupBy("domain").agg(F.sum("lang_tokens").alias("domain_tokens"), F.sum("lang_capacity").alias("domain_capacity"), F.first("wd").alias("wd"))
+    total = F.floor(F.sum("domain_tokens").over(Window.partitionBy(F.lit(0))) * mix.budget_percent / 100)
     domains = _share(domains.withColumn("_root", F.lit(0)).withColumn("_total", total.cast("long")), ["_root"], "_total", "domain_capacity", "wd", "domain_budget")
     langs = _share(langs.join(domains.select("domain", "domain_budget"), "domain"), ["domain"], "domain_budget", "lang_capacity", "wl", "lang_budget")
     leaves = _share(leaves.join(langs.select("domain", "language", "lang_budget"), ["domain", "language"]), ["domain", "language"], "lang_budget", "capacity", "ws", "budget")
-    leaves = materialize(leaves.select(*LEVELS, "tokens", F.col("budget").cast("long").alias("budget")), "budgets")
-    leaves = leaves.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(mix.max_epochs)).cast("int"))
+    leaves = materialize(leaves.select(*LEVELS, "tokens", F.col("budget").cast("long").alias("budget"), "off"), "budgets")
+    full = F.when(F.col("off"), 0).when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(mix.max_epochs))
+    leaves = leaves.withColumn("epochs", full.cast("int"))
     partial = leaves.withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens")).filter("left > 0")
     # The epoch's number is the leaf's, so keys are made after the leaf is known.
     keyed = slim.join(partial.select(*LEVELS, "epochs", "left"), list(LEVELS)).withColumn("key", order_key(F.col("row_key"), mix.seed, F.col("epochs")))
@@ -116,12 +122,15 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = Non
     name = fresh_name(docs, "copies")
     cols = _keys(domain_of(F.col("source").cast("string")) if domain is None else domain)
     slim = materialize(docs.select(*[v.alias(k) for k, v in cols.items()]), "tokens")
-    leaves = plan(slim, mix).select(*[F.col(c).alias(f"_m_{c}") for c in (*LEVELS, "epochs", "cutoff")])
-    tmp = docs.withColumns({f"_k_{k}": v for k, v in cols.items() if k != "tokens"})
-    on = [F.col(f"_k_{c}") == F.col(f"_m_{c}") for c in LEVELS]
-    out = tmp.join(leaves, on)
-    taken = order_key(F.col("_k_row_key"), mix.seed, F.col("_m_epochs")) <= F.col("_m_cutoff")
-    return out.withColumn(name, F.col("_m_epochs") + F.coalesce(taken, F.lit(False)).cast("int")).select(*docs.columns, name)
+    key = fresh_names(docs, *[f"_key_{c}" for c in cols])
+    leaf = fresh_names(docs, *[f"_leaf_{c}" for c in (*LEVELS, "epochs", "cutoff")])
+    # One row a leaf.
+    leaves = plan(slim, mix).select(*[F.col(c.removeprefix("_leaf_")).alias(n) for c, n in leaf.items()])
+    tmp = docs.withColumns({key[f"_key_{c}"]: v for c, v in cols.items() if c != "tokens"})
+    out = tmp.join(leaves, [F.col(key[f"_key_{c}"]) == F.col(leaf[f"_leaf_{c}"]) for c in LEVELS])
+    epochs = F.col(leaf["_leaf_epochs"])
+    taken = order_key(F.col(key["_key_row_key"]), mix.seed, epochs) <= F.col(leaf["_leaf_cutoff"])
+    return out.select(*same_columns(docs), (epochs + F.coalesce(taken, F.lit(False)).cast("int")).alias(name))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -130,7 +139,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     out = mix_documents(docs, mix).filter(F.col(name) > 0)
     if mix.max_epochs > 1:
         out = out.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name))))
-    return out.select(*docs.columns)
+    return out.select(*same_columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
