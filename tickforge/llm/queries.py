@@ -20,7 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op6_sampled_splitters": sharding.ORACLE,
     "op7_hierarchical_mixing": mixing.ORACLE,
     "op8_line_first_rules": quality_rules.ORACLE,
     "op9_temporal_url_filter": url_filter.ORACLE,
