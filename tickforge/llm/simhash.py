@@ -1,7 +1,7 @@
 """SimHash near-duplicates: 64-bit fingerprints linked within a Hamming radius by BK-trees."""
 
+import math
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,15 +10,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, materialize
+from .common import documents, fresh_names, materialize, same_columns
 from .components import connected_components
 
 SHINGLE_WORDS = 3
 RADIUS = 2
-#: A fingerprint is cut into this many 16-bit blocks; two within RADIUS agree on all but RADIUS of them.
-BLOCKS = 4
-#: Shards with more fingerprints are cut again by parts of their other bits.
-MAX_SHARD = 20_000
+#: Fingerprints that a shard's tree is meant to hold, and beyond which a shard is divided again.
+TREE = 256
+MAX_TREE = 2048
 #: Shingles hashed at a time, whatever the length of a text.
 CHUNK = 65_536
 
@@ -58,7 +57,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the SimHash of every whole text, as a signed long."""
-    bound_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_fingerprints, "doc_id long, fp long")
 
@@ -108,8 +106,6 @@ class BKTree:
 
 def _forest(members: list[int], radius: int) -> list[tuple[int, int]]:
     """Links within radius that span each component among the members: at most one for each member."""
-    if len(members) == 2:
-        return [(members[0], members[1])] if (members[0] ^ members[1]).bit_count() <= radius else []
     tree, parent, out = BKTree(), [], []
 
     def root(i: int) -> int:
@@ -166,52 +162,72 @@ def _links(radius: int):
     return links
 
 
-def _block_keys(fp: Column, radius: int, blocks: int) -> Column:
-    """One key for each choice of the blocks two near fingerprints may agree on: struct(table, shard)."""
-    width = 64 // blocks
-    keys = []
-    for table, kept in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << width) - 1) << (width * i) for i in kept)
-        keys.append(F.struct(F.lit(table).alias("table"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("shard")))
-    return F.array(*keys)
-
-
-def _finer_keys(fp: Column, table: Column, shard: Column, radius: int, blocks: int) -> Column:
-    """Keys for a large shard: its members agree on the kept blocks, so of radius + 1 parts of the other bits
-    two near ones agree on one part at least."""
-    width = 64 // blocks
-    out = None
-    for number, kept in enumerate(combinations(range(blocks), blocks - radius)):
-        free = [i * width + j for i in range(blocks) if i not in kept for j in range(width)]
-        parts = [free[p :: radius + 1] for p in range(radius + 1)]
-        keys = []
-        for p, bits in enumerate(parts):
-            mask = sum(1 << b for b in bits)
-            mask = mask - (1 << 64) if mask >> 63 else mask
-            keys.append(F.struct((F.lit(100 + number * (radius + 1) + p)).alias("table"), shard.bitwiseOR(fp.bitwiseAND(F.lit(mask))).alias("shard")))
-        this = F.array(*keys)
-        out = F.when(table == number, this) if out is None else out.when(table == number, this)
-    return out
-
-
-def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, max_shard: int = MAX_SHARD) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _finer(mask: int, radius: int, bits: int) -> list[int]:
+    """radius + 1 masks, each with `mask` and up to `bits` further bits, no further bit in two of them. Of two
+    fingerprints that agree on `mask` and differ in `radius` bits at most, one mask or more sees no difference."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    parts = [free[p :: radius + 1][:bits] for p in range(radius + 1)]
+    return [mask | sum(1 << b for b in part) for part in parts]
+
+
+def _dealt(keyed: DataFrame, masks: list[int]) -> DataFrame:
+    """fp once for each mask, with its value under it: mask, shard, fp."""
+    out = keyed.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    return out.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("shard"), "fp")
+
+
+def _shards(fps: DataFrame, radius: int, tree: int, max_tree: int) -> Iterator[DataFrame]:
+    """Tables (mask, shard, fp) of shards of max_tree members at most, so that two fingerprints within the radius are
+    in one shard together or more. Those of more members are dealt out again by further bits of their own."""
+    n = fps.count()
+    bits = min(64 // (radius + 1), max(0, math.ceil(math.log2(max(1, n) / tree))))
+    masks = sorted(set(_finer(0, radius, bits)))
+    keyed = _dealt(fps, masks)
+    # Shards that differ in no more than `radius` bits cannot be divided, nor need they.
+    max_tree = max(max_tree, 1 << radius)
+    while n > max_tree:
+        sizes = keyed.groupBy("mask", "shard").agg(F.count("*").alias("n"))
+        large = materialize(sizes.filter(F.col("n") > max_tree).select("mask", "shard"), "large-shards")
+        wide = sorted(r["mask"] % (1 << 64) for r in large.select("mask").distinct().collect())  # of at most len(masks)
+        if not wide:
+            break
+        yield keyed.join(large, ["mask", "shard"], "left_anti")
+        again = materialize(keyed.join(large, ["mask", "shard"], "left_semi"), "dealt-again")
+        parts = [(m, _finer(m, radius, 64)) for m in wide]
+        finer = None
+        for m, into in parts:
+            part = _dealt(again.filter(F.col("mask") == _signed(m)).select("fp"), into)
+            finer = part if finer is None else finer.union(part)
+        masks = sorted({x for _, into in parts for x in into})
+        keyed = finer.distinct()
+    yield keyed
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, tree: int = TREE, max_tree: int = MAX_TREE) -> DataFrame:
     """fps: distinct fingerprints in a column fp. Returns (a, b), pairs within radius that connect exactly what
     all pairs within radius connect.
 
-    Every fingerprint goes to a shard for each way of choosing the blocks (of 64 / blocks bits) that two near
-    ones must agree on. Each shard builds its BK-tree in the task that holds it and searches it with each of its
-    members, following only edges within the radius; it emits a spanning forest, never all pairs. The trees are
-    not broadcast: together they grow with the corpus. A shard of more than max_shard members is cut once more by
-    parts of its free bits, which loses no pair."""
-    if blocks <= radius or 64 % blocks:
-        raise ValueError("blocks must divide 64 and exceed the radius")
-    keyed = fps.select("fp", F.explode(_block_keys(F.col("fp"), radius, blocks)).alias("k")).select("k.table", "k.shard", "fp")
-    shards = keyed.groupBy("table", "shard").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = keyed.join(shards, ["table", "shard"])
-    one = F.array(F.struct("table", "shard"))
-    finer = _finer_keys(F.col("fp"), F.col("table"), F.col("shard"), radius, blocks)
-    dealt = kept.select("fp", F.explode(F.when(F.col("n") > max_shard, finer).otherwise(one)).alias("k")).select("k.table", "k.shard", "fp")
-    return dealt.repartition("table", "shard").sortWithinPartitions("table", "shard").mapInArrow(_links(radius), "a long, b long")
+    Two fingerprints that differ in `radius` bits agree on one of radius + 1 disjoint sets of bits. Every fingerprint
+    goes to a shard for each such set, by its values there; the sets are as long as it takes for shards of about
+    `tree` fingerprints. Each shard's BK-tree takes its members one by one, and each is first searched for in the tree
+    so far, along the edges from d - radius to d + radius only; what a shard emits is a spanning forest, never all
+    pairs. A shard of more than max_tree members is divided again by bits that its members need not share, as often
+    as it takes, which loses no pair.
+
+    The trees hold every fingerprint, so they grow with the corpus: they are neither broadcast nor brought to the
+    driver, but each is built in the task that its shard's fingerprints are dealt to."""
+    if not 0 <= radius < 32:
+        raise ValueError("the radius must be under 32")
+    links = None
+    for shards in _shards(fps, radius, tree, max_tree):
+        dealt = shards.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp")
+        part = dealt.mapInArrow(_links(radius), "a long, b long")
+        links = part if links is None else links.union(part)
+    return links
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -223,7 +239,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     null ids only has a null component_id). Repeated rows stay. Other columns are ignored. An empty table gives no
     rows."""
     rows = materialize(fingerprints(docs), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = connected_components(near_links(least.select("fp"), radius))
     linked = roots.join(least.withColumnRenamed("fp", "node"), "node")
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -239,19 +255,22 @@ def one_of_each_group(docs: DataFrame, find: Callable[[DataFrame], DataFrame] =
     all its columns. Rows that repeat that id are cut to one. Components of null ids only keep all their rows; key_of
     gives a text the fp that `find` gives it."""
     found = materialize(find(docs), "near-duplicates")
-    firsts = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_first_id")).agg(F.count("*").alias("_first_n"))
-    out = docs.join(firsts, docs["doc_id"].cast("long") == F.col("_first_id"), "left_semi")
-    repeated = firsts.filter("_first_n > 1")
-    if repeated.limit(1).count():
-        again = out.join(repeated, out["doc_id"].cast("long") == F.col("_first_id"), "left_semi")
-        again = again.groupBy(F.col("doc_id").alias("_id")).agg(F.first(F.struct(*[again[c] for c in again.columns])).alias("_row")).select("_row.*")
-        out = out.join(repeated, out["doc_id"].cast("long") == F.col("_first_id"), "left_anti").union(again)
+    n = fresh_names(docs, "_first", "_times", "_row", "_fp")
+    first, times, row, fp = (F.col(c) for c in n.values())
+    id_ = F.col("doc_id").cast("long")
+    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(n["_first"])).agg(F.count("*").alias(n["_times"]))
+    firsts = materialize(kept, "firsts")
+    out = docs.join(firsts.filter(times == 1), id_ == first, "left_semi")
+    repeated = firsts.filter(times > 1)
+    if not repeated.isEmpty():
+        again = docs.withColumn(n["_row"], F.struct(*same_columns(docs))).join(repeated, id_ == first)
+        out = out.union(again.groupBy(first).agg(F.first(row).alias(n["_row"])).select(f"{n['_row']}.*"))
     lost = found.filter("doc_id is null and component_id is null")
-    if lost.limit(1).count():
-        fps = lost.select("fp").distinct()
-        unnamed = docs.filter("doc_id is null")
-        tagged = unnamed.withColumn("_fp", F.pandas_udf(_key_series(key_of), "long")(F.col("text").cast("string")))
-        out = out.union(tagged.join(fps.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").select(*docs.columns))
+    if not lost.isEmpty():
+        keys = lost.select(F.col("fp").alias(n["_first"])).distinct()
+        unnamed = docs.filter(F.col("doc_id").isNull())
+        tagged = unnamed.withColumn(n["_fp"], F.pandas_udf(_key_series(key_of), "long")(F.col("text").cast("string")))
+        out = out.union(tagged.join(keys, fp == first, "left_semi").select(*same_columns(docs)))
     return out
 
 
