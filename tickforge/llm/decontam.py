@@ -4,18 +4,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, fresh_name, materialize
+from .common import documents, fresh_name, fresh_names, materialize, same_columns
 
 #: Words of a window that must be shared.
 WINDOW = 10
 #: Words of a k-gram. The least hash of every WINDOW - GRAM + 1 consecutive k-grams is kept, so any WINDOW shared
 #: words hold one kept k-gram at least.
 GRAM = 5
-#: Bytes of benchmark text that one pass over the documents takes. More text means more passes.
+#: Bytes of benchmark text in one index. More text is divided into blocks, and documents into those that share a
+#: fingerprint with the benchmark and those that do not.
 BLOCK_BYTES = 4 << 20
+#: Bits of the map that tells Python workers which fingerprints the benchmark cannot have, whatever its size.
+MAP_BITS = 1 << 26
+#: The word pattern, upper case included.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words handled at a time, whatever the length of a text.
 CHUNK = 1 << 18
 
@@ -209,43 +216,116 @@ def _leak_udf(index: Index, positions: bool):
     return leak.asNondeterministic()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "_leak") -> DataFrame:
-    """docs with a struct column `name` (n_words, n_hit, items): the document's words, those inside an occurrence
-    of a benchmark window, and the sorted ids of the items whose windows occur.
+def prints_of(text: str | None, short: list[int], grams: bool = True) -> np.ndarray:
+    """The distinct signed fingerprints of a text: its winnowed k-grams, and all its windows of the lengths in `short`,
+    hashed by their words and length."""
+    words = words_of(text)
+    out = []
+    for at in range(0, len(words), CHUNK):
+        part = words[at : at + CHUNK + WINDOW - 1]
+        ids = np.fromiter(map(xxhash.xxh64_intdigest, part), dtype=np.uint64, count=len(part)) | np.uint64(1)
+        if grams:
+            h = _grams(ids, GRAM)
+            out.append(h[winnow(h, WINDOW - GRAM + 1)])
+        out += [_grams(ids, n) ^ np.uint64(n) for n in short]
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, dtype=np.int64)
+
+
+def _item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints, lengths = [], []
+        for text in batch.column(0):
+            n = len(words_of(text.as_py()))
+            # An item shorter than a window is one window, found by its own length.
+            h = prints_of(text.as_py(), [n] if n < WINDOW else [], grams=n >= WINDOW)
+            prints.append(h)
+            lengths.append(np.full(len(h), n if n < WINDOW else 0, dtype=np.int32))
+        none = [np.zeros(0, dtype=np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints or none)), pa.array(np.concatenate(lengths or none), pa.int32())], names=["print", "short"])
+
+
+def _text_prints(short: list[int], bits):
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = bits.value
+        for batch in batches:
+            found = [prints_of(t.as_py(), short) for t in batch.column(2)]
+            found = [h[may[(h.view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)]] for h in found]
+            at = np.repeat(np.arange(len(found)), [len(h) for h in found])
+            prints = pa.array(np.concatenate(found or [np.zeros(0, dtype=np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), prints], names=["h", "c", "print"])
+
+    return shared
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h"), F.coalesce(F.crc32(text), F.lit(-1)).alias("c")]
+
+
+def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(h, c): the keys of texts that share a fingerprint with the benchmark, by a join of both sides' fingerprints.
+    What a map of MAP_BITS bits shows that the benchmark lacks is not dealt out at all. A text that holds a window
+    shares one fingerprint at least: a kept k-gram, or the window itself if its item is shorter."""
+    spark = docs.sparkSession
+    prints = benchmark.select(F.col("text").cast("string")).mapInArrow(_item_prints, "print long, short int")
+    prints = materialize(prints.distinct(), "benchmark-prints")
+    short = [r.short for r in prints.filter("short > 0").select("short").distinct().collect()]  # of 1 to WINDOW - 1
+    bit = F.pmod("print", F.lit(MAP_BITS))  # that of the unsigned print, too
+    on = F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("on")
+    words = prints.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 32 as int)").alias("at")).agg(on).toPandas()
+    packed = np.zeros(MAP_BITS // 32, dtype="<u4")
+    packed[words["at"].to_numpy(dtype=np.int64)] = words["on"].to_numpy(dtype=np.uint64).astype("<u4")
+    may = spark.sparkContext.broadcast(np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool))
+    text = F.col("text").cast("string")
+    shared = docs.filter(text.isNotNull()).select(*_text_key(text), text.alias("text")).mapInArrow(_text_prints(short, may), "h long, c long, print long")
+    return materialize(shared.join(prints.select("print").distinct(), "print", "left_semi").select("h", "c").distinct(), "candidates")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, name: str | None = None) -> DataFrame:
+    """docs with a struct column `name` (n_words, n_hit, items; fresh_name(docs, "_leak") unless given): the document's
+    words, those inside an occurrence of a benchmark window, and the sorted ids of the items whose windows occur.
+
+    The benchmark's bytes are counted first. Up to block_bytes, one index goes to the workers and one pass over the
+    texts finds all. Beyond, one pass joins the fingerprints of texts and items; the texts that share one are written
+    to the shared folder, each block of items is sought in these alone, and the hits are united by text, so no more
+    than a block is ever on the driver or a worker. Texts are told apart by two checksums of 96 bits in all.
 
-    The benchmark's bytes are counted first. Up to block_bytes, one index goes to the workers and one pass over
-    the texts finds all; beyond, each block of items gets a pass of its own and the hits are united by document,
-    so no more than a block is ever on the driver or a worker. Null or wordless texts have no words and no hits.
-    Items with a null text or without words have no windows; those with a null id hit, but are not listed. Repeated documents or items change nothing
-    for others; other columns pass through."""
-    bound_batches(docs.sparkSession)
+    Null or wordless texts have no words and no hits. Items with a null text or without words have no windows; those
+    with a null id hit, but are not listed. Repeated documents or items change nothing for others; other columns pass
+    through. Empty documents give no rows, an empty benchmark no hits."""
+    name = name or fresh_name(docs, "_leak")
     text = F.col("text").cast("string")
-    parts = []
-    for _, n, items in _blocks(benchmark, block_bytes):
-        index = Index(items)
-        leak = _leak_udf(index, n > 1)
+    parts, sought = [], None
+    for b, n, items in _blocks(benchmark, block_bytes):
+        leak = _leak_udf(Index(items), n > 1)
         if n == 1:
-            return docs.withColumn(name, leak(text)).withColumn(name, F.struct(f"{name}.n_words", f"{name}.n_hit", f"{name}.items"))
-        key = [F.xxhash64(text).alias("_h"), F.crc32(text).alias("_c")]
-        part = docs.select(*key, leak(text).alias("_part")).select("_h", "_c", "_part.*").distinct()
-        parts.append(materialize(part, "leaks"))
-    whole = parts[0].select("_h", "_c", "n_words")
+            found = docs.withColumn(name, leak(text))
+            return found.withColumn(name, F.struct(f"{name}.n_words", f"{name}.n_hit", f"{name}.items"))
+        if b == 0:
+            keyed = docs.select(*_text_key(text), text.alias("text")).join(candidates(docs, benchmark), ["h", "c"], "left_semi")
+            sought = materialize(keyed.dropDuplicates(["h", "c"]), "candidate-texts")
+        part = sought.select("h", "c", leak(F.col("text")).alias("part")).select("h", "c", "part.*").filter("n_hit > 0")
+        parts.append(materialize(part.select("h", "c", "hits", "items"), "leaks"))
     some = parts[0]
     for part in parts[1:]:
         some = some.union(part)
-    some = some.filter("n_hit > 0").groupBy("_h", "_c").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    united = whole.join(some, ["_h", "_c"], "left").select(
-        F.col("_h").alias("_leak_h"), F.col("_c").alias("_leak_c"),
-        F.struct("n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias(name),
+    some = some.groupBy("h", "c").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    match = (F.xxhash64(text) == F.col("_leak_h")) & F.crc32(text).eqNullSafe(F.col("_leak_c"))
-    return docs.join(united, match, "left").drop("_leak_h", "_leak_c")
+    tmp = fresh_names(docs, "_text_h", "_text_c", "_hit_n", "_hit_items")
+    h, c, n_hit, found = (F.col(x) for x in tmp.values())
+    united = some.select(*[F.col(x).alias(y) for x, y in zip(("h", "c", "n_hit", "items"), tmp.values(), strict=True)])
+    of_text = _text_key(text)
+    joined = docs.join(united, (of_text[0] == h) & (of_text[1] == c), "left")
+    words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    items = F.coalesce(found, F.array().cast("array<string>"))
+    return joined.select(*same_columns(docs), F.struct(words.alias("n_words"), F.coalesce(n_hit, F.lit(0)).alias("n_hit"), items.alias("items")).alias(name))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window."""
     name = fresh_name(docs, "_leak")
-    return contaminated(docs, benchmark, name=name).filter(f"{name}.n_hit = 0").select(*docs.columns)
+    return contaminated(docs, benchmark, name=name).filter(f"{name}.n_hit = 0").select(*same_columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
