@@ -1,6 +1,9 @@
 """The corpus operators against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
 
+import base64
+import gzip
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -13,7 +16,12 @@ from pyspark.sql import functions as F
 from tickforge.llm import decontam, langid, mixing, pii, quality_model, quality_rules, sharding, simhash, url_filter, warc
 from tickforge.llm.components import connected_components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, _lang string, shard int, kept boolean, _leak string, copies int"
+#: Columns of documents, and further ones with names that operators use for their own.
+CLASHES = (
+    "score _lang shard kept _leak copies size slot _first _times _row _fp _first_id _first_n _key _tie _range _nth _piece _rows"
+    " _slot _in _k_domain _m_source _key_domain _leaf_source _text_h _text_c _hit_n _hit_items _h _c h c fp n bands text_key verdict _rules"
+).split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 WORDS = {"en": "the of and to in is that it was for on with as his at by this".split(), "fr": "le la les de des un une et est que qui dans pour sur avec où".split()}
 
 
@@ -38,7 +46,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame([(*r, len(r[1] or ""), 0.5, "x", 1, True, "y", 3) for r in rows], SCHEMA).repartition(5).cache()
+    return spark.createDataFrame([(*r, len(r[1] or ""), *CLASHES) for r in rows], SCHEMA).repartition(5).cache()
 
 
 @pytest.fixture(scope="module")
@@ -84,17 +92,26 @@ def test_bk_tree():
         assert sorted(tree.values[i] for i in tree.search(q, 2)) == sorted(v for v in values if (v ^ q).bit_count() <= 2)
 
 
-@pytest.mark.parametrize("max_shard", [20_000, 3])
-def test_near_links(spark, max_shard):
-    r = random.Random(5)
-    fps = set()
-    for _ in range(40):
+def fingerprints_near(centres, each, spread, seed):
+    r = random.Random(seed)
+    out = set()
+    for _ in range(centres):
         base = r.getrandbits(64)
-        for _ in range(8):
-            fps.add(base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
-    fps = sorted(fps)
+        for _ in range(each):
+            value = base
+            for _ in range(spread):
+                value ^= 1 << r.randrange(64)
+            out.add(value)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("tree", "max_tree", "fps"), [
+    (256, 2048, fingerprints_near(40, 8, 2, 5)), (8, 2048, fingerprints_near(40, 8, 2, 5)), (8, 3, fingerprints_near(40, 8, 2, 5)),
+    (64, 16, fingerprints_near(1, 300, 3, 6)), (4, 30, list(range(200))), (1, 1, [0, 1, 2, 4, 7]), (4, 4, [5]),
+])
+def test_near_links(spark, tree, max_tree, fps):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), max_shard=max_shard).collect()
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), tree=tree, max_tree=max_tree).collect()
     group = {x: x for x in fps}
 
     def find(g, x):
@@ -116,6 +133,23 @@ def test_near_links(spark, max_shard):
     assert {x: find(want, x) for x in fps} == {x: find(have, x) for x in fps}
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_shards_hold_every_near_pair_and_are_bounded(spark, radius):
+    fps = fingerprints_near(6, 60, 2, 4)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    met, largest, trees = set(), 0, 0
+    for table in simhash._shards(df, radius, 16, 24):
+        shards = {}
+        for s in table.collect():
+            shards.setdefault((s.mask, s.shard), []).append(s.fp % (1 << 64))
+        for members in shards.values():
+            assert len(members) == len(set(members))
+            largest, trees = max(largest, len(members)), trees + (len(members) > 2)
+            met |= {(a, b) for a in members for b in members if a < b}
+    assert {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= radius} <= met
+    assert largest <= 24 and trees > 5
+
+
 def fingerprint(t):
     ws = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (t or "").encode()))
     if not ws:
@@ -206,6 +240,11 @@ def test_contaminated(spark, docs, rows, block_bytes):
     bench = spark.createDataFrame(items, BENCH)
     got = {g.doc_id: (g._leak.n_words, g._leak.n_hit, sorted(g._leak["items"])) for g in decontam.contaminated(df, bench, block_bytes).collect()}
     assert got == dict(enumerate(brute(texts, items)))
+    clashing = decontam.contaminated(docs, bench, block_bytes)
+    assert clashing.columns == [*docs.columns, "__leak"] and clashing.count() == len(rows)
+    assert {tuple(g[c] for c in CLASHES) for g in clashing.collect()} == {tuple(CLASHES)}
+    none = spark.createDataFrame([], df.schema)
+    assert decontam.contaminated(none, bench, block_bytes).count() == 0
     kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, rows[9][1])], BENCH))
     assert kept.columns == docs.columns and 9 not in {x.doc_id for x in kept.collect()}
     assert decontam.drop_contaminated(docs, spark.createDataFrame([], BENCH)).count() == len(rows)
@@ -231,8 +270,9 @@ def test_winnow_guarantee():
 
 def test_shard(docs, rows, empty):
     got = sharding.shard(docs)
-    assert got.columns[: len(docs.columns)] == docs.columns
-    got = got.select("doc_id", "text", "size", "text_crc32", "_shard", "slot").collect()
+    assert got.columns == [*docs.columns, "_size", "text_crc32", "_shard", "__slot"]
+    assert {tuple(g[c] for c in CLASHES) for g in got.collect()} == {tuple(CLASHES)}
+    got = got.select("doc_id", "text", F.col("_size").alias("size"), "text_crc32", "_shard", F.col("__slot").alias("slot")).collect()
     assert len(got) == len(rows)
     total = sum(len((t or "").encode()) + 8 for _, t, *_ in rows)
     biggest = max(len((t or "").encode()) + 8 for _, t, *_ in rows)
@@ -249,12 +289,76 @@ def test_shard(docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_overfull_ranges(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", 1)
-    df = spark.range(3000).select((F.col("id") % 50).alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 90).cast("int")).alias("text"))
-    got = sharding.shard(df, 8).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("m")).collect()
-    assert len(got) == 8 and sum(g.n for g in got) == 3000 and all(g.m == g.n - 1 for g in got)
-    assert max(g.b for g in got) - min(g.b for g in got) <= 2 * 188
+def uneven(spark, n=3000):
+    """Sizes that vary a hundredfold and ids that cluster."""
+    return spark.range(n).select((F.col("id") * F.col("id") % 1009 + F.col("id")).alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 90).cast("int")).alias("text"), "id")
+
+
+def by_shard(out):
+    return out.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
+
+
+@pytest.mark.parametrize("samples", [1, 16])
+def test_overfull_ranges_are_subdivided(spark, monkeypatch, samples):
+    monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", samples)
+    got = by_shard(sharding.shard(uneven(spark), 8))
+    assert len(got) == 8 and sum(g.n for g in got) == 3000 and all(g.m == g.n - 1 == g.d - 1 for g in got)
+    total = sum(g.b for g in got)
+    assert max(abs(g.b - total / 8) for g in got) <= 2 * sharding.OVERFULL * max(188, total / (8 * sharding.RANGES_PER_SHARD))
+
+
+def test_shards_are_unions_of_the_sampled_ranges(spark, monkeypatch):
+    df = uneven(spark)
+    drawn = sharding.splitters
+    monkeypatch.setattr(sharding, "RANGES_PER_SHARD", 4)
+    monkeypatch.setattr(sharding, "OVERFULL", 1e9)
+
+    def shards():
+        return {g.id: g.shard for g in sharding.shard(df, 8).select("id", "shard").collect()}
+
+    once = shards()
+    monkeypatch.setattr(sharding, "splitters", lambda slim, total, n, seed: drawn(slim, total, n, seed + 1))
+    assert shards() != once
+    # Two splitters make three ranges, each wholly in one shard; a constant makes two.
+    monkeypatch.setattr(sharding, "splitters", lambda slim, total, n, seed: [(500, 0), (2000, 0)])
+    held, ids = shards(), {r.id: r.doc_id for r in df.collect()}
+    by_range = [{held[i] for i, k in ids.items() if a <= k < b} for a, b in ((-1, 500), (500, 2000), (2000, 10**9))]
+    assert [len(s) for s in by_range] == [1, 1, 1] and len(set.union(*by_range)) == 3
+
+
+def test_allot_against_brute_force():
+    r = random.Random(4)
+    for _ in range(200):
+        held = []
+        for i in range(r.randrange(1, 40)):
+            rows, single = r.choice([1, 1, 5, 400]), r.random() < 0.4
+            held.append(sharding.Range(i, rows * r.randrange(8, 90) if single else rows * 8 + r.randrange(500), rows, single))
+        n = r.randrange(1, 9)
+        pieces = sharding.allot(held, n)
+        total, before, filled = sum(h.size for h in held), 0, [0] * n
+        for h in held:
+            mine = [p for p in pieces if p.range == h.number]
+            assert sum(p.rows for p in mine) == h.rows and [p.first for p in mine] == [sum(q.rows for q in mine[:i]) for i in range(len(mine))]
+            assert len(mine) == 1 or h.single
+            for p in mine:
+                assert p.slot == filled[p.shard]
+                filled[p.shard] += p.rows
+                middle = before + h.size * (2 * p.first + p.rows) / (2 * h.rows)
+                assert abs(p.shard - min(n - 1, int(middle * n / total))) <= (abs(middle * n / total - round(middle * n / total)) < 1e-6)
+            before += h.size
+        order = [p.shard for p in pieces]
+        assert order == sorted(order)
+
+
+def test_rows_that_repeat_by_the_thousand_are_dealt_out(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 3000, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"), F.lit("x").alias("shard"))
+    out = sharding.shard(rows, 8)
+    assert out.columns == ["doc_id", "text", "shard", "size", "text_crc32", "_shard", "slot"]
+    got = by_shard(out.select("size", F.col("_shard").alias("shard"), "slot"))
+    assert len(got) == 8 and sum(g.n for g in got) == 4000 and all(g.m == g.n - 1 == g.d - 1 for g in got)
+    assert max(g.b for g in got) <= 1.1 * min(g.b for g in got)
+    same = out.filter("doc_id = 7").collect()
+    assert len(same) == 3000 and {(g.text, g.shard, g.size) for g in same} == {("same text", "x", 17)}
 
 
 def level(budget, children):
@@ -271,11 +375,22 @@ def level(budget, children):
     return got
 
 
+def test_a_weight_of_zero_switches_off(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "en" if i % 2 else "fr", f"s{i % 3}") for i in range(48)] + [(99, None, "fr", "s0")], "doc_id long, text string, lang string, source string")
+    taken = lambda mix: {r.doc_id: r.copies for r in mixing.mix_documents(docs, mix).collect()}
+    got = taken(mixing.Mix(languages={"en": 1, "fr": 0}, budget_percent=40, max_epochs=1))
+    assert not any(c for i, c in got.items() if i % 2 == 0 or i == 99) and 10 <= sum(got.values()) <= 19
+    assert not any(c for i, c in taken(mixing.Mix(sources={"s1": 0}, max_epochs=1)).items() if i % 3 == 1)
+    assert not any(taken(mixing.Mix(domains={}, other=0)).values())
+    only = taken(mixing.Mix(languages={"en": 1, "fr": 0}, budget_percent=100, max_epochs=1))
+    assert sum(only.values()) == 24 and all(only[i] for i in range(1, 48, 2))
+
+
 def test_mix(docs, rows, empty):
     mix = mixing.Mix(budget_percent=50)
     out = mixing.mix_documents(docs, mix)
     name = out.columns[-1]
-    assert out.columns[:-1] == docs.columns
+    assert out.columns == [*docs.columns, "_copies"] and {tuple(g[c] for c in CLASHES) for g in out.collect()} == {tuple(CLASHES)}
     got = out.select("doc_id", "text", "lang", "source", F.col(name).alias("c"), mixing.domain_of(F.col("source")).alias("dom")).collect()
     assert len(got) == len(rows)
     tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -479,6 +594,33 @@ def test_url_filter(spark):
     assert {g["_verdict"] for g in url_filter.judge(pages, spark.createDataFrame([], "list_key string, action string, effective string"), F.col("at")).collect()} == {"allow"}
 
 
+def test_url_filter_against_brute_force(spark):
+    r = random.Random(11)
+    day = lambda: f"20{r.randrange(20, 99)}-{r.randrange(1, 13):02d}-{r.randrange(1, 28):02d}"
+    names = ["com", "a.com", "b.a.com", "c.b.a.com", "d.org", "[2001:db8::1]"]
+    entries = [(r.choice(names), r.choice(["block", "allow", "remove"]), day()) for _ in range(60)]
+    rows = [(i, f"http://{r.choice(names + ['x.a.com', 'e.org'])}:8080/{'p' * r.choice([0, 5])}", f"{day()} 23:59:59") for i in range(400)]
+    rows += [(1000, "http://a.com/" + "q" * 300_000, day()), (1001, "http://" + "y." * 3000 + "a.com", day())]
+    want = {}
+    for i, url, at in rows:
+        host = re.match(r"http://(\[[^]]*\]|[^:/]*)", url)[1]
+        parents = [host] + [host.split(".", k)[-1] for k in range(1, host.count(".") + 1)]
+        verdict = ("allow", None)
+        for k in sorted(set(parents), key=len, reverse=True):
+            past = sorted((e[2], {"block": 2, "allow": 1, "remove": 0}[e[1]], e[1]) for e in entries if e[0] == k and e[2] <= at[:10])
+            if past and past[-1][2] != "remove":
+                verdict = (past[-1][2], k)
+                break
+        want[i] = verdict
+    clash = "verdict list_key _found_h _found_d _found_b host k d h".split()
+    pages = spark.createDataFrame([(*x, *clash) for x in rows], "page_id long, url string, at string, " + ", ".join(f"{c} string" for c in clash))
+    out = url_filter.judge(pages, spark.createDataFrame(entries, "list_key string, action string, effective string"), F.to_timestamp("at"))
+    got = out.collect()
+    assert {g.page_id: (g["_verdict"], g["_list_key"]) for g in got} == want and {tuple(g[c] for c in clash) for g in got} == {tuple(clash)}
+    none = spark.createDataFrame([], pages.schema)
+    assert url_filter.judge(none, spark.createDataFrame(entries, "list_key string, action string, effective string"), F.col("at")).count() == 0
+
+
 def test_url_filter_holds_in_far_years(spark):
     entries = spark.createDataFrame([("a.com", "block", "2024-01-01"), ("b.com", "block", "2150-01-01"), ("c.com", "block", "2400-01-01")], "list_key string, action string, effective string")
     pages = spark.createDataFrame([("http://a.com", "2101-05-05"), ("http://b.com", "2150-06-01"), ("http://b.com", "2149-12-31"), ("http://c.com", "2300-01-01")], "url string, at string")
@@ -494,19 +636,57 @@ def test_plain_text():
     assert warc.plain_text("") == "" and len(warc.plain_text("<" * 100_000)) == 100_000 and warc.plain_text("<!--" * 50_000) == ""
 
 
+def read_warc(data):
+    """Records by the letter of the standard: a line at a time, blocks by their length."""
+    stream, out = io.BytesIO(gzip.GzipFile(fileobj=io.BytesIO(data)).read()), []
+    while (line := stream.readline()):
+        assert line == b"WARC/1.1\r\n"
+        headers = {}
+        while (line := stream.readline()) != b"\r\n":
+            k, v = line.decode().rstrip("\r\n").split(":", 1)
+            headers[k.lower()] = v.strip()
+        out.append((headers, stream.read(int(headers["content-length"]))))
+        assert stream.read(4) == b"\r\n\r\n"
+    return out
+
+
+def sha1_32(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
 def test_warc_round_trip(spark):
-    rows = [("r1", "<urn:uuid:1>", "http://a/é", "2024-01-01T00:00:00Z", {"Server": "x", "Content-Type": None}, HTML), (None, None, None, None, None, None), ("r1", "<urn:uuid:1>", "http://a/é", "2024-01-01T00:00:00Z", {"Server": "x"}, HTML)]
-    df = spark.createDataFrame(rows, "source_id string, rid string, uri string, at string, headers map<string,string>, body string")
-    records = warc.derivatives(df, source_id=F.col("source_id"), uri=F.col("uri"), date=F.col("at"), headers=F.col("headers"), payload=F.col("body"), response_id=F.col("rid"))
+    latin = b"<meta charset='latin-1'><p>caf\xe9</p>"
+    rows = [
+        ("r1", "<urn:uuid:1>", "http://a/é", "2024-01-01T00:00:00Z", {"Server": "x", "Content-Type": None}, HTML.encode()), (None, None, None, None, None, None),
+        ("r1", "<urn:uuid:1>", "http://a/é", "2024-01-01T00:00:00Z", {"Server": "x"}, HTML.encode()), ("r2", "<urn:uuid:2>", "u", "d", {"A": "one\r\nWARC-Type: evil"}, b"\xff\xfe\x63\x61\x66\xe9"),
+        ("r3", "<urn:uuid:3>", "u", "d", {}, latin), ("r4", "<urn:uuid:4>", "u", "d", {"content-type": "text/html; charset=utf-16-le"}, "<p>é</p>".encode("utf-16-le")),
+        ("r5", "<urn:uuid:5>", "u", "d", {"Content-Type": "text/html; charset=none-such"}, "<p>é</p>".encode()), ("r6", "<urn:uuid:6>", "u", "d", {}, b"<p>word</p>" * 300_000),
+    ]
+    schema = "source_id string, rid string, uri string, at string, headers map<string,string>, body binary, record_id string, block string"
+    df = spark.createDataFrame([(*x, "clash", "clash") for x in rows], schema)
+    cols = {"source_id": F.col("source_id"), "uri": F.col("uri"), "date": F.col("at"), "headers": F.col("headers"), "payload": F.col("body"), "response_id": F.col("rid")}
+    records = warc.derivatives(df, **cols)
     got = records.collect()
-    assert len(got) == 6 and sorted(g.warc_type for g in got) == ["conversion"] * 3 + ["metadata"] * 3
+    assert len(got) == 16 and sorted(g.warc_type for g in got) == ["conversion"] * 8 + ["metadata"] * 8
     data = b"".join(bytes(r.warc) for r in warc.to_bytes(records).collect())
-    parsed = warc.parse(data)
-    assert len(parsed) == 6
-    for g in got:
-        assert g.block_digest == warc.digest(bytes(g.block)) and g.content_length == len(g.block)
-        headers, block = next((dict(h), b) for h, b in parsed if dict(h)["WARC-Record-ID"] == g.record_id and b == bytes(g.block))
-        assert headers["WARC-Refers-To"] == g.refers_to and headers["WARC-Block-Digest"] == g.block_digest and headers["WARC-Type"] == g.warc_type
-    first = next(g for g in got if g.warc_type == "conversion" and g.refers_to == "<urn:uuid:1>")
-    assert bytes(first.block).decode() == warc.plain_text(HTML) and first.source_payload_digest == warc.digest(HTML.encode()) and '"Server": "x"' in first.source_headers
-    assert hashlib.md5(data).digest()
+    read = read_warc(data)
+    assert len(read) == 16 and [({k.lower(): v for k, v in h}, b) for h, b in warc.parse(data)] == read
+    body_of, blocks = {x[1]: x[5] for x in rows}, {}
+    for headers, block in read:
+        assert headers["warc-block-digest"] == sha1_32(block) and headers["warc-type"] in ("metadata", "conversion")
+        blocks[headers["warc-refers-to"], headers["warc-type"]] = (headers, block)
+        if headers["warc-refers-to"] in body_of:
+            assert headers["warc-source-payload-digest"] == sha1_32(body_of[headers["warc-refers-to"]])
+    for rid in ("<urn:uuid:1>", "<urn:uuid:2>", "<urn:uuid:3>"):
+        about, fields = blocks[rid, "metadata"][0], blocks[rid, "metadata"][1].decode()
+        assert about["warc-concurrent-to"] == rid and "warc-concurrent-to" not in blocks[rid, "conversion"][0]
+        assert f"conversion-record-id: {blocks[rid, 'conversion'][0]['warc-record-id']}\r\n" in fields
+        assert f"source-payload-digest: {sha1_32(body_of[rid])}\r\nsource-payload-length: {len(body_of[rid])}\r\n" in fields
+    assert "source-header: A: one WARC-Type: evil\r\n" in blocks["<urn:uuid:2>", "metadata"][1].decode()
+    text = {rid: block.decode() for (rid, kind), (_, block) in blocks.items() if kind == "conversion"}
+    assert text["<urn:uuid:1>"] == "T & U\nOne two 3 < 4\nfive\né\nunclosed" and text["<urn:uuid:2>"] == "\ufffd\ufffdcaf\ufffd"
+    assert text["<urn:uuid:3>"] == "café" and text["<urn:uuid:4>"] == text["<urn:uuid:5>"] == "é" and text["<urn:uuid:6>"].count("word") == 300_000
+    assert warc.derivatives(df.limit(0), **cols).count() == 0
+    assert warc.parse(b"WARC/1.0\r\nContent-Length:3\r\n\r\nabc\r\n\r\n") == [([("Content-Length", "3")], b"abc")]
+    texts = warc.derivatives(df.withColumn("body", F.col("body").cast("string")).filter("source_id = 'r1'"), **cols).collect()
+    assert {g.source_payload_digest for g in texts} == {sha1_32(HTML.encode())}

@@ -68,8 +68,3 @@ def fresh_names(df: DataFrame, *bases: str) -> dict[str, str]:
 def same_columns(df: DataFrame) -> list[Column]:
     """df's own columns, by quoted names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches to Python workers count rows, not bytes: whole texts go in batches of few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, fresh_name, id_remainder
+from .common import documents, fresh_name, id_remainder, same_columns
 
 NGRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -155,7 +155,6 @@ def train(rows: DataFrame) -> Model | None:
     """rows: doc_id, text, lang, all of which may be learned from. Document frequencies are counted over all rows;
     the regression is fitted in one task on a bounded sample (PER_LANGUAGE, MAX_TRAIN), drawn by a hash of the row.
     Rows with null text or lang teach nothing. No usable rows give no model."""
-    bound_batches(rows.sparkSession)
     known = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(3)).alias("draw"))
     known = known.filter("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -179,11 +178,12 @@ def train(rows: DataFrame) -> Model | None:
     return Model(languages, idf.astype(np.float32), weights, np.frombuffer(fitted.bias, np.float32), fitted.temperature)
 
 
-def predict(docs: DataFrame, model: Model | None, name: str = "_lang") -> DataFrame:
-    """docs with a struct column `name` (lang_pred, score): the language of each whole text and its calibrated
-    probability. Text that is null or has no letter is `und` with score 0, as is everything without a model. Other
-    columns pass through; repeated rows get equal results."""
-    bound_batches(docs.sparkSession)
+def predict(docs: DataFrame, model: Model | None, name: str | None = None) -> DataFrame:
+    """docs with a struct column `name` (lang_pred, score; fresh_name(docs, "_lang") unless given): the language of each
+    whole text and its calibrated probability. Text that is null or has no letter is `und` with score 0, as is
+    everything without a model. Of languages with equal scores the first by name is taken. Other columns pass through;
+    repeated rows get equal results; an empty table gives no rows."""
+    name = name or fresh_name(docs, "_lang")
     text = F.col("text").cast("string")
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     if model is None:
@@ -206,7 +206,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs whose language is identified with min_score at least; the model learns from fold(docs)."""
     name = fresh_name(docs, "_lang")
     found = predict(docs, train(fold(docs).select("doc_id", "text", "lang")), name)
-    return found.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)).select(*docs.columns)
+    return found.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)).select(*same_columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
