@@ -547,6 +547,33 @@ def test_pii_base(spark, docs, rows, empty):
     assert pii.find(docs).count() == len(rows) and pii.find(empty).count() == 0
 
 
+def test_pii_query(spark, tmp_path):
+    r = random.Random(10)
+    pieces = ["a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+1 (743) 555-3824", "é😀", "word", "9", "x@y"]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randrange(1, 12))) for _ in range(80)] + [None, "", "no data"]
+    texts += [f"please call me +1 743 555-38{i:02d} now" for i in range(20)] + ["please call me 555 123 4567 now"] * 2
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = pii.query(spark, str(tmp_path))
+    assert out.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    got = out.collect()
+    assert len(got) == len(rows)
+    listed = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    by = {}
+    for g in got:
+        by.setdefault(g.doc_id, []).append(g)
+    for i, t in rows:
+        base = base_spans(t)
+        for g in by[i]:
+            assert (g.n_email, g.n_ip, g.n_card, g.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in pii.KINDS)
+            assert g.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+            spans = [x.split(":") for x in g.spans.split(",") if x]
+            order = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in spans]
+            assert order == sorted(order) and len(order) == len(base) + g.n_added and set(listed(base).split(",")) - {""} <= set(g.spans.split(","))
+    found = [g for g in got if g.doc_id is not None and texts[g.doc_id] == "please call me 555 123 4567 now"]
+    assert [g.spans for g in found] == ["phone:15:27"] * 2
+
+
 def test_pii_finds_by_context(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))

@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends here, and a lost executor costs no
-    recomputation. Meant for slim tables (keys, counts, fingerprints), not for texts."""
+    recomputation. Operators write slim tables so (keys, counts, fingerprints); the pipeline writes each stage's documents."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

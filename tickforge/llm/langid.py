@@ -23,17 +23,20 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: Code points handled at a time, whatever the length of a text.
 CHUNK = 1 << 19
 UNKNOWN = "und"
-#: Below this calibrated probability, near chance, the pipeline rejects a document.
-MIN_SCORE = 0.3
+#: The commonest languages are learned, this many at most.
+MAX_LANGUAGES = 512
+#: The pipeline rejects a document whose calibrated probability is under this many times chance (of 1 / languages).
+OVER_CHANCE = 1.2
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The hashed character n-grams of a whole text in lower case, as (buckets, counts)."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts = None
     longest = max(NGRAMS)
     for at in range(0, len(codes), CHUNK):
         part = codes[at : at + CHUNK + longest - 1].astype(np.uint32)
+        hashes = []
         for n in NGRAMS:
             m = min(len(part) - n + 1, CHUNK)
             if m <= 0:
@@ -42,7 +45,11 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
             for j in range(n):
                 h = (h ^ part[j : j + m]) * np.uint32(0x01000193)
                 h ^= h >> np.uint32(15)
-            counts += np.bincount((h * np.uint32(0x9E3779B1)) >> np.uint32(16), minlength=BUCKETS)
+            hashes.append((h * np.uint32(0x9E3779B1)) >> np.uint32(16))
+        here = np.bincount(np.concatenate(hashes), minlength=BUCKETS)
+        counts = here if counts is None else counts + here
+    if counts is None:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     found = np.flatnonzero(counts)
     return found, counts[found]
 
@@ -154,10 +161,12 @@ def _fit(classes: int):
 def train(rows: DataFrame) -> Model | None:
     """rows: doc_id, text, lang, all of which may be learned from. Document frequencies are counted over all rows;
     the regression is fitted in one task on a bounded sample (PER_LANGUAGE, MAX_TRAIN), drawn by a hash of the row.
-    Rows with null text or lang teach nothing. No usable rows give no model."""
+    Rows with null text or lang teach nothing, nor do those of languages beyond the MAX_LANGUAGES commonest. No usable
+    rows give no model."""
     known = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(3)).alias("draw"))
     known = known.filter("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    commonest = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = {r.lang: r.n for r in commonest.collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -202,11 +211,14 @@ def fold(docs: DataFrame) -> DataFrame:
     return docs.filter(id_remainder("doc_id", 3) != 1)
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs whose language is identified with min_score at least; the model learns from fold(docs)."""
+def keep_identified(docs: DataFrame, over_chance: float = OVER_CHANCE) -> DataFrame:
+    """docs whose language is identified with a probability of over_chance / languages at least; the model learns from
+    fold(docs). Without letters or without a model none is."""
     name = fresh_name(docs, "_lang")
-    found = predict(docs, train(fold(docs).select("doc_id", "text", "lang")), name)
-    return found.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)).select(*same_columns(docs))
+    model = train(fold(docs).select("doc_id", "text", "lang"))
+    least = min(1.0, over_chance / len(model.languages)) if model else 1.0
+    found = predict(docs, model, name)
+    return found.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).select(*same_columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

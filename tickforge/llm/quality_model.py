@@ -14,8 +14,6 @@ from .common import documents, id_remainder, materialize
 N_FEATURES = 160
 RIDGE = 1e-3
 GAMMA = 0.08
-#: Blobs of partial sums that meet on the driver.
-GROUPS = 8
 #: Score bins of the isotonic fit.
 BINS = 2048
 THRESHOLD = 0.3
@@ -64,9 +62,9 @@ class Fourier:
 
 
 def _normal_sums(fourier: Fourier):
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    """A partition's part of the normal equations: features by features, features by label, and the number of rows."""
 
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = len(fourier.b) + 1
         total = np.zeros((d, d + 2))
         for rows in batches:
@@ -75,16 +73,11 @@ def _normal_sums(fourier: Fourier):
                 total[:, :d] += phi.T @ phi
                 total[:, d] += phi.T @ rows["label"].to_numpy()
                 total[0, d + 1] += len(rows)
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % GROUPS], "sums": [total.tobytes()]})
+        yield pd.DataFrame({"sums": [total.ravel()]})
 
     return sums
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(b) for b in rows["sums"])
-    return pd.DataFrame({"part": rows["part"].iloc[:1], "sums": [total.tobytes()]})
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators over points sorted by x: (centre, value) of each pool, values rising."""
     pools: list[list[float]] = []  # weight, weighted x, weighted y
@@ -112,8 +105,8 @@ class Model:
 
 def train(rows: DataFrame) -> Model | None:
     """rows: stats, label (0 or 1), fit (boolean: fitted on, else calibrated on). All rows count. The normal equations
-    are summed in each partition and added up in GROUPS tasks; the calibration sees counts of score bins. None if
-    there are no rows."""
+    are summed in each partition and added up number by number, so the driver gets one system of fixed size; the
+    calibration sees counts of score bins. None if there are no rows."""
     rows = rows.select("stats", F.col("label").cast("double").alias("label"), "fit")
     fit = rows.filter("fit")
     parts = [f(F.element_at("stats", i + 1)) for f in (F.avg, F.stddev_pop) for i in range(STATS)]
@@ -124,8 +117,9 @@ def train(rows: DataFrame) -> Model | None:
             return None
     fourier = Fourier(np.array(figures[1 : STATS + 1]), np.array(figures[STATS + 1 :]))
     d = N_FEATURES + 1
-    sums = fit.select("stats", "label").mapInPandas(_normal_sums(fourier), "part int, sums binary").groupBy("part").applyInPandas(_add, "part int, sums binary").collect()
-    total = sum(np.frombuffer(r.sums) for r in sums).reshape(d, d + 2)
+    parts = fit.select("stats", "label").mapInPandas(_normal_sums(fourier), "sums array<double>")
+    sums = parts.select(F.posexplode("sums").alias("at", "part")).groupBy("at").agg(F.sum("part").alias("total")).toPandas()
+    total = sums.sort_values("at")["total"].to_numpy().reshape(d, d + 2)
     ridge = RIDGE * total[0, d + 1] * np.eye(d)
     ridge[-1, -1] = 1e-9
     model = Model(fourier, np.linalg.solve(total[:, :d] + ridge, total[:, d]), np.zeros(0), np.zeros(0))
