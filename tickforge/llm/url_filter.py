@@ -4,7 +4,7 @@ active when it was fetched. DataFrame functions only."""
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_names, same_columns
+from .common import fresh_names, materialize, same_columns
 
 #: The end of an interval that no later entry closes.
 OPEN_END = "9999-12-31"
@@ -64,7 +64,9 @@ def judge(pages: DataFrame, entries: DataFrame, fetched: Column) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     valid = intervals(entries)
     keyed = seen.select("h", "d", F.explode(suffixes).alias("k")).join(valid.select(F.col("list_key").alias("k")).distinct(), "k", "left_semi")
-    active = keyed.join(as_of(keyed.select("k", "d").distinct(), valid), ["k", "d"])
+    # Written, so that hosts meet it by key and day, and a listed domain with most hosts is not one task.
+    held = materialize(as_of(keyed.select("k", "d").distinct(), valid), "as-of")
+    active = keyed.join(held, ["k", "d"])
     best = active.groupBy("h", "d").agg(F.max(F.struct(F.length("k").alias("l"), F.col("k"), F.col("valid_from"), F.col("action"))).alias("b"))
     best = best.select(F.col("h").alias(found["_found_h"]), F.col("d").alias(found["_found_d"]), F.col("b").alias(found["_found_b"]))
     on = (F.col(n["host"]) == F.col(found["_found_h"])) & (F.col(n["fetch_date"]) == F.col(found["_found_d"]))
