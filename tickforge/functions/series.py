@@ -188,6 +188,22 @@ def vidya(x: E, n: int, drift: int = 1) -> E:
     return where(y.same(0.0), E("lit", (), (None,)), y)
 
 
+def jurik(x: E, n: int, phase: float = 0.0) -> E:
+    """Jurik's moving average. Relative volatility sets the smoothing's strength; an average of that strength follows
+    the values, a second one what the first leaves, to an extent that `phase` gives; and the result goes after both."""
+    half = (n - 1) / 2
+    reach = max(math.log2(math.sqrt(half)) + 2, 0.0) if half else 0.0
+    weight = reach * math.sqrt(half)
+    steady = 0.45 * (n - 1) / (0.45 * (n - 1) + 2)
+    power = max(reach - 2, 0.5)
+    speed = scan("relative_volatility", [x], reach=max(1.0, reach ** (1 / power)), power=power, hold=weight / (weight + 1))[0]
+    alpha = fn("pow", steady, speed)
+    first = scan("adaptive", [x, 1.0 - alpha, x], start=0)[0]
+    rest = ewm(x - first, 1 - steady)
+    ahead = min(max(1.5 + phase / 100, 0.5), 2.5)
+    return where(E("rownum") < float(n), E("lit", (), (None,)), scan("pursuit", [first + ahead * rest, alpha])[0])
+
+
 MODES = {
     "dema": dema, "ema": ema, "fwma": lambda x, n: dot(x, normed(fibonacci(n))), "hma": hma, "linreg": linreg, "midpoint": midpoint, "pwma": lambda x, n: dot(x, normed(pascal(n))), "rma": rma, "sinwma": sinwma, "sma": sma,
     "ssf": ssf, "swma": swma, "t3": t3, "tema": tema, "trima": trima, "vidya": vidya, "wma": wma,
@@ -201,6 +217,29 @@ def ma(mode: str | None = None, x: E | None = None, n: int = 10):
     return MODES.get(mode, ema)(x, n)
 
 
+def unsigned_differences(x: E, lag: int = 1) -> tuple[E, E]:
+    """1 where x rose, and 1 where it fell, over `lag` rows; 0 elsewhere."""
+    d = fn("coalesce", x.diff(lag), 0.0)
+    return where(d > 0.0, 1.0, 0.0), where(d < 0.0, 1.0, 0.0)
+
+
+def horner(coefficients: list[float], v: float) -> float:
+    """The polynomial of these coefficients, highest power first, at v."""
+    y = 0.0
+    for c in coefficients:
+        y = y * v + c
+    return y
+
+
+def erf(x: float) -> float:
+    return math.erf(x)
+
+
+def strided_window(values: list, n: int) -> list[list]:
+    """All runs of n consecutive values."""
+    return [values[i : i + n] for i in range(len(values) - n + 1)]
+
+
 def signed(x: E, first: float, k: int = 1) -> E:
     """The sign of the change, `first` where there is none before."""
     return fn("coalesce", fn("sign", x.diff(k)), e(first))

@@ -315,11 +315,14 @@ def stochrsi(close, length=14, rsi_length=14, k=3, d=3, mamode="sma"):
 
 
 @operator("momentum")
-def tmo(open_, close, tmo_length=14, calc_length=5, smooth_length=3, momentum=False, mamode="ema"):
-    total = NULL
-    for j in range(1, tmo_length):
+def tmo(open_, close, tmo_length=14, calc_length=5, smooth_length=3, momentum=False, normalize=False, exclusive=True, mamode="ema"):
+    """The close against the last opens. normalize divides by their number, into -1 to 1; not exclusive, the present bar
+    counts as one of them and the lookback is shorter by it."""
+    total, opens = NULL, tmo_length if exclusive else max(1, tmo_length - 1)
+    for j in range(1, opens + 1):
         part = fn("sign", close - open_.lag(j))
         total = part if j == 1 else total + part
+    total = total / float(opens) if normalize else total
     main = s.ma(mamode, s.ma(mamode, total, calc_length), smooth_length)
     sig = s.ma(mamode, main, smooth_length)
     tail = f"_{tmo_length}_{calc_length}_{smooth_length}"

@@ -105,7 +105,7 @@ def ichimoku(high, low, close, tenkan=9, kijun=26, senkou=52, include_chikou=Fal
 
 @operator("overlap")
 def jma(close, length=7, phase=0.0):
-    return {f"JMA_{length}_{phase}": scan("jurik", [close], length=length, phase=phase)[0]}
+    return {f"JMA_{length}_{phase}": s.jurik(close, length, phase)}
 
 
 @operator("overlap")

@@ -143,7 +143,7 @@ def short_run(fast_, slow_, length=2):
 @operator("trend")
 def psar(high, low, close=None, af0=0.02, max_af=0.2):
     names = [f"PSAR{k}_{af0}_{max_af}" for k in ("l", "s", "af", "r")]
-    return dict(zip(names, scan("parabolic", [high, low, NULL if close is None else close, ROW], 4, af0=af0, max_af=max_af), strict=True))
+    return dict(zip(names, scan("parabolic", [high, low, NULL if close is None else close], 4, af0=af0, max_af=max_af), strict=True))
 
 
 @operator("trend")

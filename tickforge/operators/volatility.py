@@ -134,5 +134,5 @@ def true_range(high, low, close, prenan=False, drift=1):
 def ui(close, length=14, scalar=100, everget=False):
     top = roll("max", close, length)
     d = scalar * (close - top) / top
-    mean = s.sma(d * d, length) if everget else roll("sum", d * d, length) / length
+    mean = (s.sma(d * d, length) if everget else roll("sum", d * d, length)) / length
     return {f"UI{'e' if everget else ''}_{length}": fn("sqrt", mean)}

@@ -134,13 +134,22 @@ def sql(base: str, outputs: dict[str, E], keys: list[str], order: list[str], dig
             inputs = [f"i{c}_{j}" for j in range(len(n.args))]
             ctes.append(f"x{c} AS MATERIALIZED (SELECT {k}, _rn, {', '.join(f'CAST({get(a)} AS DOUBLE) AS {x}' for a, x in zip(n.args, inputs, strict=True))} FROM {last})")
 
-            def row(last_state: dict[str, str]) -> str:
-                after, outs = f(last_state, [f"s.{x}" for x in inputs], "s._rn", p)
-                made = [f"{v if state[q].endswith('[])') else f'CAST({v} AS DOUBLE)'} AS {c}_{q}" for q, v in after.items()]
-                return ", ".join([*[f's."{q}"' for q in keys], "s._rn", *made, *[f"CAST({v} AS DOUBLE) AS {c}_o{j}" for j, v in enumerate(outs)]])
+            names = {q: f"{c}_{q}" for q in state}
+            after, outs, *stages = f(names, inputs, "_rn", p)
+            typed = {q: v if state[q].endswith("[])") else f"CAST({v} AS DOUBLE)" for q, v in after.items()}
+            made = [f"{v} AS {names[q]}" for q, v in typed.items()] + [f"CAST({v} AS DOUBLE) AS {c}_o{j}" for j, v in enumerate(outs)]
+
+            def stepped(rows: str) -> str:
+                """One step over rows of keys, number, last state and inputs; a stage's names are columns of the next."""
+                for stage in stages:
+                    rows = f"SELECT *, {', '.join(f'{v} AS {n}' for n, v in stage.items())} FROM ({rows})"
+                return f"SELECT {k}, _rn, {', '.join(made)} FROM ({rows})"
 
             same = " AND ".join(f's."{q}" IS NOT DISTINCT FROM r."{q}"' for q in keys)
-            ctes.append(f"s{c} AS (SELECT {row(state)} FROM x{c} s WHERE s._rn = 1 UNION ALL SELECT {row({q: f'r.{c}_{q}' for q in state})} FROM s{c} r JOIN x{c} s ON s._rn = r._rn + 1 AND {same})")
+            begin = f"SELECT {k}, _rn, {', '.join([*[f'{v} AS {names[q]}' for q, v in state.items()], *inputs])} FROM x{c} WHERE _rn = 1"
+            given = [*[f's."{q}"' for q in keys], "s._rn", *[f"r.{n}" for n in names.values()], *[f"s.{x}" for x in inputs]]
+            onward = f"SELECT {', '.join(given)} FROM s{c} r JOIN x{c} s ON s._rn = r._rn + 1 AND {same}"
+            ctes.append(f"s{c} AS ({stepped(begin)} UNION ALL {stepped(onward)})")
             ctes.append(f"j{c} AS (SELECT s.*, r.* EXCLUDE ({k}, _rn) FROM {last} s JOIN s{c} r ON s._rn = r._rn AND {same})")
             last = f"j{c}"
             stored[n.key] = c

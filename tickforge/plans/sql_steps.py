@@ -6,8 +6,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-#: kernel -> (initial state, step). step(state, inputs, row number from 1, parameters) gives (next state, outputs), all
-#: as SQL; a missing value is null.
+#: kernel -> (initial state, step). step(state, inputs, row number from 1, parameters) gives (next state, outputs,
+#: *stages), all as SQL; a missing value is null. A stage names values that later stages, the state and outputs may use.
 STEPS: dict[str, tuple[dict[str, str], Callable]] = {}
 _NULL, _ZERO, _LIST = "CAST(NULL AS DOUBLE)", "CAST(0 AS DOUBLE)", "CAST([] AS DOUBLE[])"
 
@@ -125,7 +125,7 @@ def holt_winters(s, a, i, p):
 
 @step(falling=_ZERO, sar=_NULL, ep=_NULL, af=_ZERO, h=_NULL, l=_NULL, c=_NULL)
 def parabolic(s, a, i, p):
-    high, low, close, _ = a
+    high, low, close = a
     af0 = repr(float(p["af0"]))
     one, two = f"{i} = 1", f"{i} = 2"
     dn = f"({s['l']} - {low})"
@@ -177,3 +177,162 @@ def trailing_stop(s, a, i, p):
 def multiplied(s, a, i, p):
     y = _case(f"{i} = 1", a[1], f"({s['y']} * {a[0]})")
     return {"y": y}, [y]
+
+
+def _past(values: str, k: int) -> str:
+    """The k-th last element of a list, 0 before its first."""
+    return f"coalesce({values}[len({values}) - {k}], 0.0)"
+
+
+def _pushed(values: str, x: str, size: int) -> str:
+    return f"list_append({values}, {x})[-{size}:]"
+
+
+@step(up=_NULL, dn=_NULL, out="CAST([0.0] AS DOUBLE[])", means="CAST([0.0] AS DOUBLE[])")
+def relative_volatility(s, a, i, p):
+    x, one = a[0], f"{i} = 1"
+    over, under = f"abs({x} - {s['up']})", f"abs({x} - {s['dn']})"
+    beyond = _case(f"{over} = {under}", "0.0", f"greatest({over}, {under})")
+    out = _pushed(s["out"], beyond, 10)
+    means = _pushed(s["means"], f"(list_sum({out}) / 10)", 66)
+    usual = f"list_avg({means})"
+    relative = f"least(greatest(coalesce({beyond} / nullif({usual}, 0), 0), 1.0), {p['reach']!r})"
+    speed = f"pow({relative}, {p['power']!r})"
+    kept = f"pow({p['hold']!r}, sqrt({speed}))"
+    up = _case(f"{x} > {s['up']}", x, f"({x} - {kept} * ({x} - {s['up']}))")
+    dn = _case(f"{x} < {s['dn']}", x, f"({x} - {kept} * ({x} - {s['dn']}))")
+    start = {"up": x, "dn": x, "out": "CAST([0.0] AS DOUBLE[])", "means": "CAST([0.0] AS DOUBLE[])"}
+    now = {"up": up, "dn": dn, "out": out, "means": means}
+    return {k: _case(one, start[k], now[k]) for k in now}, [_case(one, "1.0", speed)]
+
+
+@step(y=_NULL, d=_ZERO)
+def pursuit(s, a, i, p):
+    target, alpha = a
+    d = f"((1 - {alpha}) * (1 - {alpha}) * ({target} - {s['y']}) + {alpha} * {alpha} * {s['d']})"
+    y = _case(f"{i} = 1", target, f"({s['y']} + {d})")
+    return {"y": y, "d": _case(f"{i} = 1", _ZERO, d)}, [y]
+
+
+@step(pf="CAST([0.0] AS DOUBLE[])", k=_ZERO, y=_ZERO)
+def schaff(s, a, i, p):
+    x, low, high = a
+    one = f"{i} = 1"
+    k = _case(f"{low} > 0", f"(100 * ({x} - {low}) / (CASE WHEN {high} = {low} THEN 2.220446049250313e-16 ELSE {high} - {low} END))", s["k"])
+    last = f"{s['pf']}[len({s['pf']})]"
+    new = f"round({last} + {p['factor']!r} * ({k} - {last}), 8)"
+    pf = _pushed(s["pf"], new, p["length"])
+    spread = f"(list_max({pf}) - list_min({pf}))"
+    d = f"(100 * ({new} - list_min({pf})) / (CASE WHEN {spread} = 0 THEN 1.0 ELSE {spread} END))"
+    y = f"round({s['y']} + {p['factor']!r} * ({d} - {s['y']}), 8)"
+    first = "CAST([0.0] AS DOUBLE[])"
+    return {"pf": _case(one, first, pf), "k": _case(one, _ZERO, k), "y": _case(one, _ZERO, y)}, [_case(one, "0.0", y), _case(one, "0.0", new)]
+
+
+@step(v=_NULL, swing=_ZERO)
+def swings(s, a, i, p):
+    low, high, is_low, is_high = a
+    dev = 0.01 * p["deviation"]
+
+    def point(v: str, swing: str, value: str, there: str, way: str) -> tuple[str, str, str]:
+        """(whether it is a point, its change)"""
+        change = f"(({value} - {v}) / {v})"
+        moved = f"({swing} = {way} AND {change} * {way} > 0) OR ({swing} <> {way} AND {change} * {way} > {dev!r})"
+        return f"({there} <> 0 AND {value} IS NOT NULL AND ({v} IS NULL OR {moved}))", _case(f"{v} IS NULL", "0.0", f"100 * {change}")
+
+    dip, fall = point(s["v"], s["swing"], low, is_low, "-1.0")
+    v1, swing1 = _case(dip, low, s["v"]), _case(dip, "-1.0", s["swing"])
+    peak, rise = point(v1, swing1, high, is_high, "1.0")
+    outs = [_case(peak, "1.0", dip, "-1.0", _NULL), _case(peak, high, dip, low, _NULL), _case(peak, rise, dip, fall, _NULL)]
+    return {"v": _case(peak, high, v1), "swing": _case(peak, "1.0", swing1)}, outs
+
+
+def _numbers(n: int) -> str:
+    return f"CAST([{', '.join(['0.0'] * n)}] AS DOUBLE[])"
+
+
+@step(bars=_ZERO, moved=_ZERO, x=_ZERO, m=_numbers(6), a=_numbers(6), up=_ZERO, whole=_ZERO)
+def noise_free_rsi(s, a, i, p):
+    n = p["length"]
+    f, need = 3 / (n + 2), max(n - 1.0, 5.0)
+    x = f"(100.0 * {a[0]})"
+    d = f"({x} - {s['x']})"
+    fresh, warm = f"{s['bars']} = 0", f"{i} <= {n}"
+
+    def chain(r: str, v: str) -> list[dict[str, str]]:
+        """The registers after v, pair by pair, and what comes out of each."""
+        out, stages = v, []
+        for k in range(3):
+            one, two = f"{r}{2 * k}", f"{r}{2 * k + 1}"
+            stages.append({one: f"({1 - f!r} * {s[r]}[{2 * k + 1}] + {f!r} * ({out}))"})
+            stages.append({two: f"({f!r} * {one} + {1 - f!r} * {s[r]}[{2 * k + 2}])"})
+            out = f"1.5 * {one} - 0.5 * {two}"
+        return [*stages, {f"{r}_out": out}]
+
+    counted = f"(CASE WHEN {need!r} <= {s['bars']} THEN {need + 1!r} ELSE {s['bars']} + 1 END)"
+    moved = f"({s['moved']} = 1 OR ({need!r} >= {counted} AND {d} <> 0))"
+    bars = _case(fresh, "1.0", f"{counted} = {need!r} AND NOT {moved}", "0.0", counted)
+    up, size = _case(fresh, s["up"], "m_out"), _case(fresh, s["whole"], "a_out")
+    listed = lambda r: "[" + ", ".join(f"{r}{k}" for k in range(6)) + "]"
+    now = {
+        "bars": bars, "moved": _case(fresh, "0.0", moved, "1.0", "0.0"), "x": x, "m": _case(fresh, s["m"], listed("m")),
+        "a": _case(fresh, s["a"], listed("a")), "up": up, "whole": size,
+    }
+    value = _case(f"{need!r} < {bars} AND {size} > 1e-10", f"least(100.0, greatest(0.0, ({up} / {size} + 1) * 50))", "50.0")
+    outs = [_case(f"{i} < {n}", _NULL, f"{i} = {n}", "50.0", value)]
+    return ({k: _case(warm, s[k], v) for k, v in now.items()}, outs, *chain("m", d), *chain("a", f"abs({d})"))
+
+
+#: The Hilbert registers: the last seven values of four series, and the figures that go on from bar to bar.
+_CYCLE = {"xs": _LIST, **dict.fromkeys(("w", "d", "n", "q"), _numbers(7)), **dict.fromkeys(("i2", "q2", "re", "im", "pd", "sm"), _ZERO)}
+
+
+def _hilbert(s: dict, x: str, sign: int, degrees: bool) -> list[dict[str, str]]:
+    """Stages that name the cycle's registers after x as the state does, with an n before."""
+    taps = lambda r: f"(0.0962 * {r}[7] + 0.5769 * {r}[5] - 0.5769 * {r}[3] - 0.0962 * {r}[1])"
+    turn = "atan(nim / nre)"
+    angle = f"degrees({turn})" if degrees else turn
+    stages = [
+        {"nxs": _pushed(s["xs"], x, 60), "g": f"(0.075 * {s['pd']} + 0.54)"},
+        {"nw": f"list_append({s['w']}[2:7], 0.4 * {_past('nxs', 0)} + 0.3 * {_past('nxs', 1)} + 0.2 * {_past('nxs', 2)} + 0.1 * {_past('nxs', 3)})"},
+        {"nd": f"list_append({s['d']}[2:7], g * {taps('nw')})"},
+        {"nq": f"list_append({s['q']}[2:7], g * {taps('nd')})", "nn": f"list_append({s['n']}[2:7], nd[4])"},
+        {"ni2": f"(0.2 * (nn[7] - g * {taps('nq')}) + 0.8 * {s['i2']})", "nq2": f"(0.2 * (nq[7] + g * {taps('nn')}) + 0.8 * {s['q2']})"},
+        {
+            "nre": f"(0.2 * (ni2 * {s['i2']} + nq2 * {s['q2']}) + 0.8 * {s['re']})",
+            "nim": f"(0.2 * (ni2 * {s['q2']} + {sign} * nq2 * {s['i2']}) + 0.8 * {s['im']})",
+        },
+        {"raw": f"(CASE WHEN nim <> 0 AND nre <> 0 THEN 360 / {angle} ELSE 0.0 END)"},
+        {"npd": f"(0.2 * least(greatest(least(raw, 1.5 * {s['pd']}), 0.67 * {s['pd']}, 6.0), 50.0) + 0.8 * {s['pd']})"},
+        {"nsm": f"(0.33 * npd + 0.67 * {s['sm']})"},
+    ]
+    return stages
+
+
+def _from(s: dict, first: int, i: str) -> dict[str, str]:
+    """The registers' next state: as they were up to row `first`, but for the values themselves."""
+    return {q: f"n{q}" if q == "xs" else _case(f"{i} <= {first}", s[q], f"n{q}") for q in s}
+
+
+@step(**_CYCLE, phase=_ZERO, mama=_ZERO, fama=_ZERO)
+def mesa(s, a, i, p):
+    x, fast, slow = a[0], p["fastlimit"], p["slowlimit"]
+    stages = [
+        *_hilbert(s, x, 1, False), {"nphase": "(CASE WHEN nn[7] <> 0 THEN atan(nq[7] / nn[7]) ELSE 0.0 END)"},
+        {"share": f"greatest(least({fast!r} / greatest({s['phase']} - nphase, 1.0), {fast!r}), {slow!r})"},
+        {"nmama": f"(share * {x} + (1 - share) * {s['mama']})"}, {"nfama": f"(0.5 * share * nmama + (1 - 0.5 * share) * {s['fama']})"},
+    ]
+    now = _from(s, 3, i)
+    return (now, [_case(f"{i} <= {p['prenan']}", _NULL, now[q]) for q in ("mama", "fama")], *stages)
+
+
+@step(**_CYCLE, tr=_numbers(4))
+def trendline(s, a, i, p):
+    stages = [
+        *_hilbert(s, a[0], -1, True), {"bars": "CAST(floor(nsm + 0.5) AS BIGINT)"},
+        {"ntr": f"list_append({s['tr']}[2:4], CASE WHEN bars > 0 THEN list_sum(nxs[-bars:]) / bars ELSE 0.0 END)"},
+    ]
+    now = _from(s, 6, i)
+    tr = now["tr"]
+    smooth = f"(0.4 * {tr}[4] + 0.3 * {tr}[3] + 0.2 * {tr}[2] + 0.1 * {tr}[1])"
+    return (now, [_case(f"{i} <= {p['prenan']}", _NULL, f"{i} <= 13", a[0], smooth)], *stages)
