@@ -16,7 +16,7 @@ from tickforge.plans.expr import E, Stepper, col, cum, scan, topological
 from tickforge.plans.queries import OUTPUTS
 from tickforge.plans.sql import NotInSQL, sql
 from tickforge.plans.study import COMMON, Bars, Study, all_study, category_study
-from tickforge.plans.vector import evaluate
+from tickforge.plans.vector import Running, evaluate
 from tickforge.streaming.stateful import resume, state_of
 
 
@@ -200,6 +200,26 @@ def test_bar_by_bar_equals_batch_over_a_saved_state(kind):
         close_to([float(v[i]) for v in values], whole[i], 1e-6)
 
 
+@pytest.mark.parametrize("kind", sorted(REGISTRY))
+def test_parts_equal_batch_over_a_saved_state(kind):
+    """Cut at random into parts of any length, one bar among them, with missing bars."""
+    pdf = bars(220, 12, nulls=True)
+    out = list(OUTPUTS[kind].values())
+    given = columns(pdf)
+    whole = evaluate(out, given, {})
+    r = random.Random(kind)
+    cuts = sorted({0, 220, 1, *(r.randrange(220) for _ in range(4))})
+    parts, saved = [], None
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        running = Running(out)
+        if saved is not None:
+            running.load(json.loads(saved))
+        parts.append(running.step({k: v[a:b] for k, v in given.items()}))
+        saved = json.dumps(running.save())
+    for i in range(len(out)):
+        close_to(np.concatenate([p[i].astype(float) for p in parts]), whole[i], 1e-6)
+
+
 @pytest.mark.parametrize("kind", sorted(REGISTRY))
 def test_nothing_looks_ahead_by_default(kind):
     pdf = bars(200, 5)
@@ -212,8 +232,9 @@ def test_nothing_looks_ahead_by_default(kind):
 def test_look_ahead_is_refused_on_streams():
     for kind, params in (("dpo", {"centered": True}), ("ichimoku", {"include_chikou": True})):
         out = REGISTRY[kind].outputs(**params)
-        with pytest.raises(ValueError, match="looks ahead"):
-            Stepper(list(out.values()))
+        for make in (Stepper, Running):
+            with pytest.raises(ValueError, match="looks ahead"):
+                make(list(out.values()))
 
 
 @pytest.mark.parametrize("fixture", ["flat", "short", "up", "down", "nulls", "zero"])
@@ -275,14 +296,16 @@ def test_native_operators_run_no_python(many):
         assert "InPandas" not in Bars(many).ta(kind)._jdf.queryExecution().optimizedPlan().toString(), kind
 
 
-def test_long_series_are_stepped(many, monkeypatch):
+def test_long_series_go_on_in_parts(spark, monkeypatch):
     from tickforge.plans import native
 
-    want = Bars(many).ta("adx", ["symbol", "ts"]).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
-    monkeypatch.setattr(native, "WHOLE_ROWS", 50)
-    many.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
-    got = Bars(many).ta("adx", ["symbol", "ts"]).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
-    many.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    long = table(spark, bars(3300, 9, ("a", "b"))).repartition(3).cache()
+    study = Study("s", [{"kind": k} for k in ("adx", "kdj", "supertrend", "vwap", "rsx", "aroon")])
+    want = Bars(long).study(study, ["symbol", "ts"]).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    monkeypatch.setattr(native, "PART_BYTES", 1)  # parts of 1000 rows and more
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "137")
+    got = Bars(long).study(study, ["symbol", "ts"]).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     pd.testing.assert_frame_equal(got, want)
 
 

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expr import BOOLEAN_OPS, RECURSIVE_OPS, WINDOW_OPS, E, Stepper, looks_ahead, recursive, topological
-from .vector import evaluate
+from .expr import BOOLEAN_OPS, RECURSIVE_OPS, WINDOW_OPS, E, looks_ahead, recursive, topological
+from .vector import Running, evaluate
 
-#: Rows of one series that the Python pass holds. Longer series go on bar by bar with carried state.
-WHOLE_ROWS = 1_000_000
+#: Bytes of one series' inputs and results that the Python pass holds. Longer series go on in parts of this size.
+PART_BYTES = 128 << 20
 #: Windows from which a study is wide: its series all go through the Python pass, where arrays are rolled over in place,
 #: because Spark builds each sliding frame anew for each row.
 WIDE = 60
@@ -104,8 +104,11 @@ def _window(n: E, a: list[Column], keys: list[str], order: list[str]) -> Column:
     elif how == "mad":
         out = F.aggregate(F.transform(values, lambda v: F.abs(v - F.avg(x).over(frame))), F.lit(0.0), lambda s, v: s + v) / size
     elif how in ("argmax", "argmin"):
-        best = F.max(x).over(frame) if how == "argmax" else F.min(x).over(frame)
-        out = (F.array_position(F.reverse(values), best) - 1).cast("double")
+        # The extreme with its row, the latest of equals.
+        row = F.row_number().over(w)
+        at = F.struct(x.alias("x"), (row if how == "argmax" else -row).alias("row"))
+        best = (F.max if how == "argmax" else F.min)(F.when(x.isNotNull(), at)).over(frame)
+        out = (row - F.abs(best["row"])).cast("double")
     elif how == "prank":
         out = 100.0 * F.size(F.filter(values, lambda v: v < x)) / (size - 1)
     else:
@@ -195,20 +198,25 @@ def plan(df: DataFrame, outputs: dict[str, E], keys: list[str], order: list[str]
 
 
 def _series_pass(nodes: list[E], results: list[str], names: dict[str, str], flags: set[str], keys: list[str], passing: list[str]):
-    """Series arrive one after the other in order. Each is evaluated at once while it is of WHOLE_ROWS at most;
-    a longer one is stepped through with its state carried from batch to batch, so no series need fit in memory."""
+    """Series arrive one after the other in order. Each is evaluated at once while it is of PART_BYTES at most; a longer
+    one goes on part by part with its state carried, so no series need fit in memory. A graph that looks ahead takes
+    its series whole."""
+    part_rows = max(1000, PART_BYTES // (8 * (len(passing) + len(names) + 2 * len(results))))
+    ahead = any(looks_ahead(n) for n in nodes)
 
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        given = {k: rows[c].to_numpy(dtype=float) == 1.0 if k in flags else rows[c].to_numpy(dtype=float) for k, c in names.items()}
-        values = evaluate(nodes, {}, given)
+    def inputs(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {k: rows[c].to_numpy(dtype=float) == 1.0 if k in flags else rows[c].to_numpy(dtype=float) for k, c in names.items()}
+
+    def joined(rows: pd.DataFrame, values: list[np.ndarray]) -> pd.DataFrame:
         new = pd.DataFrame({c: v.astype(float) for c, v in zip(results, values, strict=True)}, index=rows.index)
         return pd.concat([rows[passing], new], axis=1)
 
-    def stepped(stepper: Stepper, rows: pd.DataFrame) -> pd.DataFrame:
-        inputs = rows[list(names.values())].to_numpy(dtype=float)
-        values = [stepper.step(dict(zip(names.values(), r, strict=True))) for r in inputs.tolist()]
-        new = pd.DataFrame({c: np.array([float(v[i]) for v in values]) for i, c in enumerate(results)}, index=rows.index)
-        return pd.concat([rows[passing], new], axis=1)
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        return joined(rows, evaluate(nodes, {}, inputs(rows)))
+
+    def going_on(running: Running, rows: pd.DataFrame) -> pd.DataFrame:
+        given = inputs(rows)
+        return joined(rows, running.step({names[k]: v for k, v in given.items()}))
 
     def given_columns() -> list[E]:
         """The same nodes over the pass's input columns."""
@@ -223,7 +231,7 @@ def _series_pass(nodes: list[E], results: list[str], names: dict[str, str], flag
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        key, count, stepper = None, 0, None
+        key, count, running = None, 0, None
         for batch in batches:
             if not len(batch):
                 continue
@@ -240,19 +248,17 @@ def _series_pass(nodes: list[E], results: list[str], names: dict[str, str], flag
                 now = tuple(None if pd.isna(part[k].iloc[0]) else part[k].iloc[0] for k in keys)
                 if now != key:
                     if held:
-                        yield whole(pd.concat(held, ignore_index=True))
-                    held, key, count, stepper = [], now, 0, None
+                        rows = pd.concat(held, ignore_index=True)
+                        yield whole(rows) if running is None else going_on(running, rows)
+                    held, key, count, running = [], now, 0, None
+                held.append(part)
                 count += len(part)
-                if stepper is None and count > WHOLE_ROWS:
-                    stepper = Stepper(given_columns())
-                    for old in held:
-                        yield stepped(stepper, old)
-                    held = []
-                if stepper is None:
-                    held.append(part)
-                else:
-                    yield stepped(stepper, part)
+                if count >= part_rows and not ahead:
+                    running = running or Running(given_columns())
+                    yield going_on(running, pd.concat(held, ignore_index=True))
+                    held, count = [], 0
         if held:
-            yield whole(pd.concat(held, ignore_index=True))
+            rows = pd.concat(held, ignore_index=True)
+            yield whole(rows) if running is None else going_on(running, rows)
 
     return run

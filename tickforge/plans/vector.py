@@ -1,9 +1,11 @@
 """Graphs on arrays: what the Python pass runs for a whole series at once."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 
-from .expr import NAN, E, period_of, topological
+from .expr import NAN, E, looks_ahead, period_of, topological
 
 #: Windows that are copied at a time.
 CHUNK = 1 << 14
@@ -51,16 +53,104 @@ def _ewm(x: np.ndarray, alpha: float, seed: int) -> np.ndarray:
 
 
 def evaluate(nodes: list[E], columns: dict[str, np.ndarray], given: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """columns: the series' columns by name, as floats; given: nodes that are known already, by key."""
+    """columns: the series' columns by name, as floats; given: nodes that are known already, by key. An array is let go
+    with its last use."""
     done = dict(given)
     size = len(next(iter((*columns.values(), *given.values()))))
+    order = [n for n in topological(nodes, set(given)) if n.key not in done]
+    uses = Counter(a.key for n in order for a in n.args)
+    uses.update(n.key for n in nodes)
     with np.errstate(all="ignore"):
-        for n in topological(nodes, set(given)):
-            if n.key not in done:
-                done[n.key] = _one(n, [done[a.key] for a in n.args], columns, size)
+        for n in order:
+            done[n.key] = _one(n, [done[a.key] for a in n.args], columns, size)
+            for a in n.args:
+                uses[a.key] -= 1
+                if not uses[a.key]:
+                    del done[a.key]
     return [done[n.key] for n in nodes]
 
 
+class Running:
+    """A graph over a series that comes in parts: arrays go in and out, and what a node needs of earlier parts (the
+    last values of a window, a running figure, a kernel) is its state. save() gives it as JSON can hold it, load() takes
+    it up again. The parts' results are those of the whole, however it is cut."""
+
+    def __init__(self, nodes: list[E]) -> None:
+        if any(looks_ahead(n) for n in nodes):
+            raise ValueError("an operator that looks ahead cannot run on a stream")
+        self.nodes, self.order = nodes, topological(nodes)
+        self.state: list = [self._new(n) for n in self.order]
+
+    @staticmethod
+    def _new(n: E):
+        if n.op == "scan":
+            from ..operators.kernels import KERNELS
+
+            return KERNELS[n.p[0]](**dict(n.p[1]))
+        # ewm: rows so far, sum and number of the values that seed it, last result; cum: last result and period.
+        return {"lag": [], "roll": [], "dot": [], "cum": [NAN, NAN], "ffill": [NAN], "rownum": [0], "ewm": [0, 0.0, 0, NAN]}.get(n.op)
+
+    def save(self) -> list:
+        return [s.s if n.op == "scan" else s for n, s in zip(self.order, self.state, strict=True)]
+
+    def load(self, saved: list) -> None:
+        for i, n in enumerate(self.order):
+            if n.op == "scan":
+                self.state[i].s = saved[i]
+            else:
+                self.state[i] = saved[i]
+
+    def step(self, columns: dict[str, np.ndarray]) -> list[np.ndarray]:
+        size = len(next(iter(columns.values())))
+        done: dict[str, np.ndarray] = {}
+        with np.errstate(all="ignore"):
+            for i, n in enumerate(self.order):
+                a = [done[x.key] for x in n.args]
+                done[n.key] = self._carried(i, n, a, size) if size and self.state[i] is not None else _one(n, a, columns, size)
+        return [done[n.key] for n in self.nodes]
+
+    def _carried(self, i: int, n: E, a: list, size: int):
+        s = self.state[i]
+        if n.op == "scan":
+            return _scanned(s.run, a, size)
+        if n.op == "rownum":
+            s[0] += size
+            return np.arange(s[0] - size + 1.0, s[0] + 1)
+        x = a[0].astype(float)
+        if n.op in ("lag", "roll", "dot"):
+            back = {"lag": lambda: n.p[0], "roll": lambda: n.p[1] - 1, "dot": lambda: len(n.p) - 1}[n.op]()
+            x = np.concatenate([s, x])
+            self.state[i] = x[max(0, len(x) - back) :].tolist()
+            return _one(n, [x], {}, len(x))[len(x) - size :]
+        if n.op == "ffill":
+            out = _one(n, [np.concatenate([s, x])], {}, size + 1)[1:]
+            self.state[i] = [float(out[-1])]
+            return out
+        if n.op == "cum":
+            by = [] if len(a) == 1 else [np.concatenate([[s[1] if s[1] == s[1] else a[1][0]], a[1]])]
+            out = _one(n, [np.concatenate([s[:1], x]), *by], {}, size + 1)[1:]
+            self.state[i] = [float(out[-1]), float(a[1][-1]) if by else NAN]
+            return out
+        alpha, seed = n.p
+        rows, total, known, last = s
+        if rows < seed:
+            head = x[: seed - rows]
+            total, known = total + float(np.nansum(head)), known + int((~np.isnan(head)).sum())
+            x = x.copy()
+            x[: len(head)] = NAN
+            if rows + len(head) == seed:
+                x[len(head) - 1] = total / known if known else NAN
+        out = _ewm(np.concatenate([[last], x]), alpha, 0)[1:]
+        self.state[i] = [rows + size, total, known, float(out[-1])]
+        return out
+
+
+def _scanned(step, a: list, size: int) -> np.ndarray:
+    rows = [step(*r) for r in zip(*(x.tolist() for x in a), strict=True)]
+    wide = max(map(len, rows), default=1)
+    return np.array([r if len(r) == wide else (NAN,) * wide for r in rows], dtype=float).reshape(size, -1)
+
+
 def _one(n: E, a: list, columns: dict[str, np.ndarray], size: int):
     op = n.op
     if op == "col":
@@ -128,8 +218,7 @@ def _one(n: E, a: list, columns: dict[str, np.ndarray], size: int):
     if op == "scan":
         from ..operators.kernels import KERNELS
 
-        step = KERNELS[n.p[0]](**dict(n.p[1])).run
-        rows = [step(*r) for r in zip(*(x.tolist() for x in a), strict=True)]
-        wide = max(map(len, rows), default=1)
-        return np.array([r if len(r) == wide else (NAN,) * wide for r in rows], dtype=float).reshape(size, -1)
+        return _scanned(KERNELS[n.p[0]](**dict(n.p[1])).run, a, size)
+    if a[0].shape[1] <= n.p[0]:
+        return np.full(size, NAN)
     return a[0][:, n.p[0]]  # pick

@@ -1,21 +1,24 @@
-"""Bar-by-bar operators with saved state: the same graphs as in batch, in Structured Streaming or resumed by hand."""
+"""Operators with saved state: the same graphs as in batch, in Structured Streaming or resumed by hand."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..plans.expr import E, Stepper
+from ..plans.expr import E
 from ..plans.study import Bars, Study
+from ..plans.vector import Running
 
 
-def _rows(stepper: Stepper, pdf: pd.DataFrame, inputs: list[str]) -> list[list[float]]:
-    return [[float(v) for v in stepper.step(dict(zip(inputs, r, strict=True)))] for r in pdf[inputs].astype(float).to_numpy().tolist()]
+def _values(running: Running, pdf: pd.DataFrame, inputs: list[str]) -> list[np.ndarray]:
+    """The study's figures of new bars of one series, all bars at once."""
+    return [v.astype(float) for v in running.step({c: pdf[c].to_numpy(dtype=float) for c in inputs})]
 
 
 def _inputs(nodes: dict[str, E]) -> list[str]:
@@ -35,19 +38,18 @@ class _Processor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        stepper = Stepper(list(self.nodes.values()))
+        running = Running(list(self.nodes.values()))
         if self.state.exists():
             saved, last = self.state.get()
-            stepper.load(json.loads(saved))
+            running.load(json.loads(saved))
             pdf = pdf[pdf[self.order] > pd.Timestamp(last)]
         pdf = pdf.drop_duplicates(self.order, keep="last")
         if not len(pdf):
             return
-        values = _rows(stepper, pdf, self.inputs)
         out = pdf[[*self.keys, self.order]].reset_index(drop=True)
-        for i, name in enumerate(self.nodes):
-            out[name] = [v[i] for v in values]
-        self.state.update((json.dumps(stepper.save()), pdf[self.order].iloc[-1].to_pydatetime()))
+        for name, v in zip(self.nodes, _values(running, pdf, self.inputs), strict=True):
+            out[name] = v
+        self.state.update((json.dumps(running.save()), pdf[self.order].iloc[-1].to_pydatetime()))
         yield out
 
     def close(self) -> None:
@@ -58,7 +60,7 @@ def _planned(bars: Bars, study: Study) -> tuple[DataFrame, dict[str, E], list[st
     outputs = study.outputs(bars.columns)
     df, nodes = bars.prepared(outputs)
     inputs = _inputs(nodes)
-    Stepper(list(nodes.values()))  # refuses operators that look ahead
+    Running(list(nodes.values()))  # refuses operators that look ahead
     return df.select(*bars.keys, *bars.order, *inputs), nodes, inputs, bars.order[0]
 
 
@@ -83,18 +85,17 @@ def resume(bars: Bars, study: Study, state: DataFrame | None = None) -> DataFram
     keys = list(bars.keys)
 
     def run(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        stepper = Stepper(list(nodes.values()))
+        running = Running(list(nodes.values()))
         new = new.sort_values(order, kind="stable").drop_duplicates(order, keep="last")
         if len(old):
-            stepper.load(json.loads(old["graph"].iloc[0]))
+            running.load(json.loads(old["graph"].iloc[0]))
             new = new[new[order] > old["last"].iloc[0]]
-        values = _rows(stepper, new, inputs)
         out = new[[*keys, order]].reset_index(drop=True)
-        for i, name in enumerate(nodes):
-            out[name] = pd.Series([v[i] for v in values], dtype=float)
+        for name, v in zip(nodes, _values(running, new, inputs), strict=True):
+            out[name] = v
         out["graph"] = None
         if len(out):
-            out.loc[len(out) - 1, "graph"] = json.dumps(stepper.save())
+            out.loc[len(out) - 1, "graph"] = json.dumps(running.save())
         return out
 
     if state is None:
