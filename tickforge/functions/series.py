@@ -104,10 +104,15 @@ def move(x: E, n: int, scalar: float = 1.0) -> E:
     return (x - x.lag(n)) / x.lag(n) * scalar
 
 
-def rsi_like(x: E, n: int, mode: str = "rma", drift: int = 1, scalar: float = 100.0) -> E:
+def seeded_changes(x: E, n: int, drift: int = 1) -> E:
+    """Wilder's average over changes, which are missing for `drift` rows: seeded with the mean of the first n of them."""
+    return ewm(x, 1 / n, n + drift)
+
+
+def rsi_like(x: E, n: int, mode: str = "rma", drift: int = 1, scalar: float = 100.0, seed: str | None = None) -> E:
     d = x.diff(drift)
     up, down = where(d < 0.0, 0.0, d), where(d > 0.0, 0.0, d)
-    p, q = ma(mode, up, n), ma(mode, down, n)
+    p, q = (seeded_changes(up, n, drift), seeded_changes(down, n, drift)) if seed == "sma" else (ma(mode, up, n), ma(mode, down, n))
     return scalar * p / (p + q.abs())
 
 
@@ -129,21 +134,29 @@ def correlation(x: E, n: int) -> E:
     return dot(x, slope_weights(n)) * spread / roll("std", x, n)
 
 
-def dema(x: E, n: int) -> E:
-    a = ema(x, n)
-    return 2.0 * a - ema(a, n)
+def ema_chain(x: E, n: int, levels: int, seed: str | None = None) -> list[E]:
+    """An EMA, the EMA of it and so on. Later ones begin with the first value of the one before, or with seed="sma"
+    with the mean of its first n values."""
+    out = []
+    for level in range(levels):
+        # A level's first value is on row level * (n - 1) + 1, and rows before it are missing in the mean.
+        x = ewm(x, 2 / (n + 1), level * (n - 1) + n) if seed == "sma" else ema(x, n)
+        out.append(x)
+    return out
+
+
+def dema(x: E, n: int, seed: str | None = None) -> E:
+    a, b = ema_chain(x, n, 2, seed)
+    return 2.0 * a - b
 
 
-def tema(x: E, n: int) -> E:
-    a = ema(x, n)
-    b = ema(a, n)
-    return 3.0 * (a - b) + ema(b, n)
+def tema(x: E, n: int, seed: str | None = None) -> E:
+    a, b, c = ema_chain(x, n, 3, seed)
+    return 3.0 * (a - b) + c
 
 
-def t3(x: E, n: int, a: float = 0.7) -> E:
-    es = [x]
-    for _ in range(6):
-        es.append(ema(es[-1], n))
+def t3(x: E, n: int, a: float = 0.7, seed: str | None = None) -> E:
+    es = [x, *ema_chain(x, n, 6, seed)]
     c1, c2, c3 = -(a**3), 3 * a * a + 3 * a**3, -6 * a * a - 3 * a - 3 * a**3
     return c1 * es[6] + c2 * es[5] + c3 * es[4] + (a**3 + 3 * a * a + 3 * a + 1) * es[3]
 

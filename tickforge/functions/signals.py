@@ -33,18 +33,18 @@ def signals(name: str, x: E, xa: float | None = None, xb: float | None = None, c
 
 
 def tsignals(trend: E, drift: int = 1, offset: int = 0) -> dict[str, E]:
-    """Entries and exits of a trend of 0 and 1."""
+    """Entries and exits of a trend of 0 and 1. trade offset: 1 for backtests, 0 live."""
     trades = fn("coalesce", trend.diff(drift).lag(offset), 0)
     return {"TS_Trends": trend, "TS_Trades": trades, "TS_Entries": flag(trades > 0.0), "TS_Exits": where(trades < 0.0, trades.abs(), 0)}
 
 
 def xsignals(x: E, xa, xb, above_first: bool = True, long: bool = True) -> dict[str, E]:
-    """Trades between two crossings: in from one to the other."""
+    """Trades between two crossings: in from one to the other; and the trend as a long and as a short position."""
     a, b = cross(x, xa, over=above_first), cross(x, xb, over=not above_first)
     trade = a - b
     state = fn("coalesce", where(trade.same(0.0), NULL, trade).ffill(), 0)
     trend = flag(state > 0.0) if long else flag(state <= 0.0)
-    return tsignals(trend)
+    return tsignals(trend) | {"XS_LONG": trend, "XS_SHORT": 1.0 - trend}
 
 
 def candle_color(open_: E, close: E) -> E:
@@ -68,6 +68,8 @@ def cube(x: E, power: float = 3.0, signal_offset: int = -1) -> dict[str, E]:
     return {"CUBE": y, "CUBEs": y.lag(abs(signal_offset))}
 
 
-def ifisher(x: E, amp: float = 1.0) -> E:
-    z = fn("exp", 2.0 * amp * x)
+def ifisher(x: E, amp: float = 1.0, bounds: tuple[float, float] | None = None) -> E:
+    """The inverse Fisher transform of values from -1 to 1; those of other bounds are mapped there first."""
+    x = x if bounds is None else remap(x, *bounds, -1.0, 1.0)
+    z = fn("exp", amp * x)
     return (z - 1.0) / (z + 1.0)

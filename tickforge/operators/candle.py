@@ -17,8 +17,7 @@ def _inside(high: E, low: E) -> E:
 
 @operator("candle")
 def cdl_inside(open_, high, low, close, scalar=100):
-    color = where(close >= open_, 1, -1)
-    return {"CDL_INSIDE": flag(_inside(high, low)) * color * (scalar / 100)}
+    return {"CDL_INSIDE": flag(_inside(high, low)) * float(scalar)}
 
 
 @operator("candle")

@@ -3,11 +3,21 @@
 import math
 
 from ..functions import series as s
-from ..plans.expr import NULL, ROW, E, dot, flag, fn, roll, scan, where
+from ..functions.signals import signals
+from ..plans.expr import NULL, ROW, E, col, dot, flag, fn, roll, scan, where
 from .registry import operator
 from .volatility import bands, rvi_by
 
 
+def _with_signals(out: dict[str, E], wanted: bool, xa, xb, xseries, cross_values: bool) -> dict[str, E]:
+    """An operator's column, and if wanted its signals against two levels and a series (a column's name)."""
+    if not wanted:
+        return out
+    ((name, x),) = out.items()
+    other = None if xseries is None else xseries if isinstance(xseries, E) else col(xseries)
+    return out | signals(name, x, xa, xb, cross_values, other, xseries if isinstance(xseries, str) else "SERIES")
+
+
 @operator("momentum")
 def ao(high, low, fast=5, slow=34):
     m = s.hl2(high, low)
@@ -54,10 +64,12 @@ def cg(close, length=10):
 
 
 @operator("momentum")
-def cmo(close, length=14, scalar=100, talib=True, drift=1):
+def cmo(close, length=14, scalar=100, talib=True, drift=1, seed=None):
+    """seed="sma": the averages begin with the mean of the first `length` changes."""
     d = close.diff(drift)
     up, dn = where(d < 0.0, 0.0, d), where(d > 0.0, 0.0, d).abs()
-    p, q = (s.rma(x, length) if talib else roll("sum", x, length) for x in (up, dn))
+    average = (lambda x: s.seeded_changes(x, length, drift)) if seed == "sma" else lambda x: s.rma(x, length)
+    p, q = (average(x) if talib else roll("sum", x, length) for x in (up, dn))
     return {f"CMO_{length}": scalar * (p - q) / (p + q)}
 
 
@@ -69,8 +81,10 @@ def coppock(close, length=10, fast=11, slow=14):
 @operator("momentum")
 def crsi(close, rsi_length=3, streak_length=2, rank_length=100, scalar=100, drift=1):
     streak = fn("coalesce", fn("sign", close.diff()), 0)
-    rank = roll("prank", s.move(close, 1), rank_length + 1)
-    return {f"CRSI_{rsi_length}_{streak_length}_{rank_length}": (s.rsi_like(close, rsi_length, drift=drift, scalar=scalar) + s.rsi_like(streak, streak_length, drift=drift, scalar=scalar) + rank) / 3.0}
+    # The first row has no change: it is not less than any.
+    rank = where(fn("isnull", close), NULL, roll("prank", fn("coalesce", s.move(close, 1), 1e300), rank_length + 1))
+    price, moves = (s.rsi_like(x, n, drift=drift, scalar=scalar) for x, n in ((close, rsi_length), (streak, streak_length)))
+    return {f"CRSI_{rsi_length}_{streak_length}_{rank_length}": (price + moves + rank) / 3.0}
 
 
 @operator("momentum")
@@ -79,8 +93,9 @@ def cti(close, length=12):
 
 
 @operator("momentum")
-def er(close, length=10, drift=1):
-    return {f"ER_{length}": close.diff(length).abs() / roll("sum", close.diff(drift).abs(), length)}
+def er(close, length=10, drift=1, signal_indicators=False, xa=80, xb=20, xseries=None, cross_values=False):
+    out = {f"ER_{length}": close.diff(length).abs() / roll("sum", close.diff(drift).abs(), length)}
+    return _with_signals(out, signal_indicators, xa, xb, xseries, cross_values)
 
 
 @operator("momentum")
@@ -132,7 +147,7 @@ def kdj(high, low, close, length=9, signal=3):
 def kst(close, signal=9, roc1=10, roc2=15, roc3=20, roc4=30, sma1=10, sma2=10, sma3=10, sma4=15):
     y = NULL
     for i, (r, n) in enumerate(((roc1, sma1), (roc2, sma2), (roc3, sma3), (roc4, sma4)), 1):
-        part = float(i) * s.sma(s.move(close, r), n)
+        part = float(i) * s.sma(s.move(close, r, 100.0), n)
         y = part if i == 1 else y + part
     y = 100.0 * y
     return {f"KST_{roc1}_{roc2}_{roc3}_{roc4}_{sma1}_{sma2}_{sma3}_{sma4}": y, f"KSTs_{signal}": s.sma(y, signal)}
@@ -145,7 +160,8 @@ def seeded_from(x: E, n: int, first: int) -> E:
 
 
 @operator("momentum")
-def macd(close, fast=12, slow=26, signal=9, asmode=False):
+def macd(close, fast=12, slow=26, signal=9, asmode=False, signal_indicators=False):
+    """signal_indicators: crossings of zero by the histogram, and whether the line is above zero."""
     fast, slow = min(fast, slow), max(fast, slow)
     m = s.ema(close, fast) - s.ema(close, slow)
     sig = seeded_from(m, signal, slow)
@@ -154,7 +170,8 @@ def macd(close, fast=12, slow=26, signal=9, asmode=False):
         sig = seeded_from(m, signal, slow + signal - 1)
     tail = f"{'AS' if asmode else ''}_{fast}_{slow}_{signal}"
     h = f"MACD{'AS' if asmode else ''}h_{fast}_{slow}_{signal}"
-    return {f"MACD{tail}": m, h: m - sig, h.replace("h_", "s_", 1): sig}
+    out = {f"MACD{tail}": m, h: m - sig, h.replace("h_", "s_", 1): sig}
+    return out | signals(h, m - sig, 0, None) | signals(f"MACD{tail}", m, 0, None, False) if signal_indicators else out
 
 
 @operator("momentum")
@@ -199,13 +216,16 @@ def roc(close, length=10, scalar=100):
 
 
 @operator("momentum")
-def rsi(close, length=14, scalar=100, mamode="rma", drift=1):
-    return {f"RSI_{length}": s.rsi_like(close, length, mamode, drift, scalar)}
+def rsi(close, length=14, scalar=100, mamode="rma", drift=1, seed=None, signal_indicators=False, xa=80, xb=20, xseries=None, cross_values=False):
+    """seed="sma": the averages begin with the mean of the first `length` changes."""
+    out = {f"RSI_{length}": s.rsi_like(close, length, mamode, drift, scalar, seed)}
+    return _with_signals(out, signal_indicators, xa, xb, xseries, cross_values)
 
 
 @operator("momentum")
-def rsx(close, length=14):
-    return {f"RSX_{length}": scan("noise_free_rsi", [close], length=length)[0]}
+def rsx(close, length=14, signal_indicators=False, xa=80, xb=20, xseries=None, cross_values=False):
+    out = {f"RSX_{length}": scan("noise_free_rsi", [close], length=length)[0]}
+    return _with_signals(out, signal_indicators, xa, xb, xseries, cross_values)
 
 
 @operator("momentum")
@@ -259,7 +279,7 @@ def _momentum(close: E, high: E, low: E, mom_length: int, mom_smooth: int, kc_le
 
 @operator("momentum")
 def squeeze(high, low, close, bb_length=20, bb_std=2.0, kc_length=20, kc_scalar=1.5, mom_length=12, mom_smooth=6, tr=True, mamode="sma", lazybear=False):
-    bl, _, bu = bands(close, bb_length, bb_std, bb_std, "sma", 1)
+    bl, _, bu = bands(close, bb_length, bb_std, bb_std, mamode, 1)
     width = kc_scalar * s.ma(mamode, s.true_range(high, low, close) if tr else high - low, kc_length)
     mid = s.ma(mamode, close, kc_length)
     on, off = (bl > mid - width) & (bu < mid + width), (bl < mid - width) & (bu > mid + width)
@@ -271,7 +291,7 @@ def squeeze(high, low, close, bb_length=20, bb_std=2.0, kc_length=20, kc_scalar=
 def squeeze_pro(high, low, close, bb_length=20, bb_std=2.0, kc_length=20, kc_scalar_narrow=1, kc_scalar_normal=1.5, kc_scalar_wide=2, mom_length=12, mom_smooth=6, tr=True, mamode="sma"):
     if not kc_scalar_wide > kc_scalar_normal > kc_scalar_narrow:
         raise ValueError("the widths must fall from wide over normal to narrow")
-    bl, _, bu = bands(close, bb_length, bb_std, bb_std, "sma", 1)
+    bl, _, bu = bands(close, bb_length, bb_std, bb_std, mamode, 1)
     unit, mid = s.ma(mamode, s.true_range(high, low, close) if tr else high - low, kc_length), s.ma(mamode, close, kc_length)
     inside = lambda k: (bl > mid - k * unit) & (bu < mid + k * unit)
     wide, normal, narrow = inside(kc_scalar_wide), inside(kc_scalar_normal), inside(kc_scalar_narrow)

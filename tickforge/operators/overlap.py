@@ -26,10 +26,23 @@ def _simple(kind: str, f, default: int = 10) -> None:
     operator("overlap", kind)(build)
 
 
-for _kind, _default in (("dema", 10), ("fwma", 10), ("pwma", 10), ("rma", 10), ("sinwma", 14), ("sma", 10), ("swma", 10), ("tema", 10), ("trima", 10), ("midpoint", 2), ("vidya", 14)):
+_DEFAULTS = {
+    "fwma": 10, "pwma": 10, "rma": 10, "sinwma": 14, "sma": 10, "swma": 10, "trima": 10, "midpoint": 2, "vidya": 14,
+}
+for _kind, _default in _DEFAULTS.items():
     _simple(_kind, s.MODES[_kind], _default)
 
 
+@operator("overlap")
+def dema(close, length=10, seed=None):
+    return {f"DEMA_{length}": s.dema(close, length, seed)}
+
+
+@operator("overlap")
+def tema(close, length=10, seed=None):
+    return {f"TEMA_{length}": s.tema(close, length, seed)}
+
+
 @operator("overlap")
 def ema(close, length=10, presma=True):
     return {f"EMA_{length}": s.ema(close, length, presma)}
@@ -46,8 +59,8 @@ def smma(close, length=7, mamode="sma"):
 
 
 @operator("overlap")
-def t3(close, length=10, a=0.7):
-    return {f"T3_{length}_{a}": s.t3(close, length, a)}
+def t3(close, length=10, a=0.7, seed=None):
+    return {f"T3_{length}_{a}": s.t3(close, length, a, seed)}
 
 
 @operator("overlap")

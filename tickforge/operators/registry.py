@@ -1,8 +1,10 @@
-"""The registry: every operator with its category, inputs and builder."""
+"""The registry: every operator with its category, inputs and builder; its catalogue, and operators from outside."""
 
+import importlib.util
 import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from ..plans.expr import E, col, looks_ahead, recursive
 
@@ -20,7 +22,8 @@ class Operator:
 
     def outputs(self, columns: dict[str, str] | None = None, **params) -> dict[str, E]:
         """The operator's outputs by canonical name. columns: which column an input is read from; optional inputs
-        are used only if a parameter names their column (or is True); unknown parameters are errors. Common modifiers: offset (rows to shift by), fillna, prefix, suffix."""
+        are used only if a parameter names their column (or is True); unknown parameters are errors. Common modifiers:
+        offset (rows to shift by), fillna, prefix, suffix."""
         offset, fillna = params.pop("offset", 0), params.pop("fillna", None)
         prefix, suffix = params.pop("prefix", None), params.pop("suffix", None)
         columns = dict(columns or {})
@@ -80,3 +83,45 @@ def categories() -> dict[str, list[str]]:
     for op in REGISTRY.values():
         out.setdefault(op.category, []).append(op.kind)
     return {k: sorted(v) for k, v in sorted(out.items())}
+
+
+def search(text: str) -> list[str]:
+    """Kinds whose name, category or documentation holds a text, in any case."""
+    t = text.lower()
+    return sorted(k for k, op in REGISTRY.items() if t in f"{k} {op.category} {op.build.__doc__ or ''}".lower())
+
+
+def describe(kind: str) -> str:
+    """An operator's category, inputs, parameters and outputs, and what its documentation says."""
+    op = REGISTRY[kind]
+    params = ", ".join(f"{k}={v!r}" for k, v in op.defaults.items())
+    inputs = ", ".join([*op.inputs, *[f"{o} (optional)" for o in op.optional]])
+    text = inspect.getdoc(op.build)
+    lines = [f"{kind} ({op.category})", f"inputs: {inputs}", f"parameters: {params}", f"outputs: {', '.join(op.outputs())}"]
+    return "\n".join(lines + ([text] if text else []))
+
+
+def bind(category: str, kind: str, build: Callable[..., dict[str, E]]) -> Operator:
+    """Registers an operator from outside under any category; its kind must be new."""
+    if kind in REGISTRY:
+        raise ValueError(f"there is an operator {kind!r}")
+    operator(category, kind)(build)
+    return REGISTRY[kind]
+
+
+def import_directory(path: str) -> list[str]:
+    """Registers the operators of a folder with a subfolder for each category. A file `<category>/<kind>.py` defines a
+    function of the kind's name, and may define kernels. Returns the kinds; a file without its function is an error."""
+    kinds = []
+    for file in sorted(Path(path).glob("*/*.py")):
+        if file.name.startswith("_"):
+            continue
+        spec = importlib.util.spec_from_file_location(f"tickforge_plugin_{file.parent.name}_{file.stem}", file)
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        build = getattr(module, file.stem, None)
+        if not callable(build):
+            raise ValueError(f"{file} defines no {file.stem}()")
+        bind(file.parent.name, file.stem, build)
+        kinds.append(file.stem)
+    return kinds

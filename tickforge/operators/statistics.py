@@ -1,9 +1,9 @@
-"""Statistics operators. tos_stdevall is a table operator: see plans.tables."""
+"""Statistics operators."""
 
 import math
 
 from ..functions.series import sma
-from ..plans.expr import fn, roll
+from ..plans.expr import ROW, cum, fn, roll
 from .registry import operator
 
 
@@ -51,3 +51,19 @@ def variance(close, length=30, ddof=1):
 @operator("statistics")
 def zscore(close, length=30, std=1.0):
     return {f"ZS_{length}": (close - sma(close, length)) / (std * roll("std", close, length))}
+
+
+@operator("statistics")
+def tos_stdevall(close, stds=(1, 2, 3), ddof=1):
+    """The least-squares line of all rows up to each, and bands of their standard deviation: for studies and streams.
+    The whole series' line is plans.tables.tos_stdevall."""
+    x = close - cum("first", close)  # sums stay small
+    n, sx, sxx, six = ROW, cum("sum", x), cum("sum", x * x), cum("sum", x * ROW)
+    si, sii = n * (n + 1.0) * 0.5, n * (n + 1.0) * (2.0 * n + 1.0) / 6.0
+    slope = (n * six - si * sx) / (n * sii - si * si)
+    line = cum("first", close) + sx / n + slope * (n - si / n)
+    dev = fn("sqrt", fn("gmax", sxx - sx * sx / n, 0.0) / (n - float(ddof)))
+    out = {"TOS_STDEVALL_LR": line}
+    for k in sorted(stds):
+        out |= {f"TOS_STDEVALL_L_{k}": line - float(k) * dev, f"TOS_STDEVALL_U_{k}": line + float(k) * dev}
+    return out

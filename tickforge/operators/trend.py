@@ -112,9 +112,11 @@ _monotone("DEC", -1)
 
 
 @operator("trend")
-def dm(high, low, length=14, mamode="rma", drift=1):
+def dm(high, low, length=14, mamode="rma", drift=1, seed=None):
+    """seed="sma": the averages begin with the mean of the first `length` moves."""
+    average = (lambda x: s.seeded_changes(x, length, drift)) if seed == "sma" else lambda x: s.ma(mamode, x, length)
     pos, neg = moves(high, low, drift)
-    return {f"DMP_{length}": s.ma(mamode, pos, length), f"DMN_{length}": s.ma(mamode, neg, length)}
+    return {f"DMP_{length}": average(pos), f"DMN_{length}": average(neg)}
 
 
 @operator("trend")

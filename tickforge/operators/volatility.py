@@ -49,7 +49,8 @@ def chandelier_exit(high, low, close, high_length=22, low_length=22, atr_length=
     a = multiplier * s.atr(high, low, close, atr_length, mamode)
     top, floor = (close, close) if use_close else (high, low)
     long, short = roll("max", top, high_length, 1) - a, roll("min", floor, low_length, 1) + a
-    turn = where(close > long.lag(), 1, where(close < short.lag(), -1, NULL))
+    above, below = close > long.lag(), close < short.lag()
+    turn = where(above & ~below, 1, where(below & ~above, -1, NULL))  # beyond both, the side stays
     side = fn("coalesce", turn.ffill(), 1)
     tail = f"{'_CLOSE' if use_close else ''}_{high_length}_{low_length}_{atr_length}_{multiplier}"
     return {f"CHDLREXTl{tail}": long, f"CHDLREXTs{tail}": short, f"CHDLREXTd{tail}": side}

@@ -1,4 +1,4 @@
-"""Volume operators. vp is a table operator: see plans.tables."""
+"""Volume operators."""
 
 from ..functions import series as s
 from ..plans.expr import NULL, ROW, E, cum, flag, fn, roll, scan, where
@@ -149,3 +149,12 @@ def vwap(high, low, close, volume, ts, anchor="D", bands=()):
 @operator("volume")
 def vwma(close, volume, length=10):
     return {f"VWMA_{length}": s.sma(close * volume, length) / s.sma(volume, length)}
+
+
+@operator("volume")
+def vp(close, volume, width=10):
+    """The fullest price range of the volume profile as of each row, approximately: for studies and streams. The whole
+    series' profile is plans.tables.vp."""
+    names = ("low_price", "mean_price", "high_price", "pos_volume", "neg_volume", "neut_volume", "total_volume")
+    out = scan("online_profile", [close, volume, s.signed(close, 1.0)], 7, width=width)
+    return {f"VP_{width}_{k}": v for k, v in zip(names, out, strict=True)}

@@ -69,7 +69,7 @@ def _w(n: E, a: list[str], keys: str, order: str) -> str:
 def rounded(x: str, digits: int) -> str:
     """Rounded so that figures of two engines agree: large values to fewer places, and by a shift off exact ties; the
     largest to nine significant digits."""
-    far = [(1e4, digits, 3e-8), (1e8, digits - 4, 3e-4), (1e15, digits - 8, 3.0)]
+    far = [(1e4, digits, 3.3e-8), (1e8, digits - 4, 3e-4), (1e15, digits - 8, 3.0)]
     cases = " ".join(f"WHEN abs({x}) < {top!r} THEN round({x} + {shift!r}, {d})" for top, d, shift in far)
     return f"CASE {cases} WHEN abs({x}) < 1e300 THEN TRY_CAST(printf('%.8e', {x}) AS DOUBLE) END + 0.0"
 

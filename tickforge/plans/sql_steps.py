@@ -220,11 +220,12 @@ def schaff(s, a, i, p):
     one = f"{i} = 1"
     k = _case(f"{low} > 0", f"(100 * ({x} - {low}) / (CASE WHEN {high} = {low} THEN 2.220446049250313e-16 ELSE {high} - {low} END))", s["k"])
     last = f"{s['pf']}[len({s['pf']})]"
-    new = f"round({last} + {p['factor']!r} * ({k} - {last}), 8)"
+    tidy = lambda v: f"(floor(({v}) * 1e8 + 0.5) / 1e8)"
+    new = tidy(f"{last} + {p['factor']!r} * ({k} - {last})")
     pf = _pushed(s["pf"], new, p["length"])
     spread = f"(list_max({pf}) - list_min({pf}))"
     d = f"(100 * ({new} - list_min({pf})) / (CASE WHEN {spread} = 0 THEN 1.0 ELSE {spread} END))"
-    y = f"round({s['y']} + {p['factor']!r} * ({d} - {s['y']}), 8)"
+    y = tidy(f"{s['y']} + {p['factor']!r} * ({d} - {s['y']})")
     first = "CAST([0.0] AS DOUBLE[])"
     return {"pf": _case(one, first, pf), "k": _case(one, _ZERO, k), "y": _case(one, _ZERO, y)}, [_case(one, "0.0", y), _case(one, "0.0", new)]
 
@@ -336,3 +337,41 @@ def trendline(s, a, i, p):
     tr = now["tr"]
     smooth = f"(0.4 * {tr}[4] + 0.3 * {tr}[3] + 0.2 * {tr}[2] + 0.1 * {tr}[1])"
     return (now, [_case(f"{i} <= {p['prenan']}", _NULL, f"{i} <= 13", a[0], smooth)], *stages)
+
+
+_BINS = ("up", "down", "flat", "total", "number")
+
+
+@step(low=_NULL, high=_NULL, **dict.fromkeys(_BINS, _LIST))
+def online_profile(s, a, i, p):
+    x, volume, side = a
+    n = p["width"]
+    known = f"({x} IS NOT NULL AND {volume} IS NOT NULL)"
+    spot = lambda v: f"(CASE WHEN nhigh > nlow THEN least({n - 1}, CAST(floor(({v} - nlow) / (nhigh - nlow) * {n}) AS INTEGER)) ELSE {n // 2} END)"
+    empty = f"len({s['up']}) = 0"
+    old = f"({s['low']} + (j - 0.5) * ({s['high']} - {s['low']}) / {n})"
+    same = f"(nlow = {s['low']} AND nhigh = {s['high']})"
+    new = {
+        "up": _case(f"{side} > 0", volume, "0.0"), "down": _case(f"{side} < 0", volume, "0.0"), "flat": _case(f"{side} = 0", volume, "0.0"),
+        "total": x, "number": "1.0",
+    }
+    every = f"range(1, {n + 1})"
+
+    def held(q: str) -> str:
+        kept = f"CASE WHEN {empty} THEN 0.0 WHEN {same} THEN {s[q]}[k] ELSE list_sum(list_transform({every}, lambda j: CASE WHEN goes[j] = k - 1 THEN {s[q]}[j] ELSE 0.0 END)) END"
+        return f"list_transform({every}, lambda k: {kept} + CASE WHEN k - 1 = here THEN {new[q]} ELSE 0.0 END)"
+
+    after = {"low": _case(known, "nlow", s["low"]), "high": _case(known, "nhigh", s["high"])}
+    after |= {q: _case(known, f"n{q}", s[q]) for q in _BINS}
+    stages = [
+        {"nlow": f"coalesce(least({s['low']}, {x}), {x})", "nhigh": f"coalesce(greatest({s['high']}, {x}), {x})"},
+        {"here": spot(x), "goes": f"list_transform({every}, lambda j: {spot(old)})"},
+        {f"n{q}": held(q) for q in _BINS},
+        {f"a{q}": v for q, v in after.items()},
+        {"sums": f"list_transform({every}, lambda k: aup[k] + adown[k] + aflat[k])"},
+        {"k": "list_position(sums, list_max(sums))", "wide": f"(ahigh - alow) / {n}"},
+    ]
+    low = "(alow + (k - 1) * wide)"
+    mean = f"(CASE WHEN anumber[k] > 0 THEN atotal[k] / anumber[k] ELSE {low} + wide / 2 END)"
+    outs = [low, mean, f"({low} + wide)", "aup[k]", "adown[k]", "aflat[k]", "(aup[k] + adown[k])"]
+    return ({q: f"a{q}" for q in after}, [_case("len(aup) = 0", _NULL, v) for v in outs], *stages)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.registry import REGISTRY, categories
 from .expr import E, topological
 from .native import plan
+from .tables import tos_stdevall, vp, zigzag
 
 PRICES = ("open", "high", "low", "close", "volume")
 
@@ -107,6 +109,22 @@ class Bars:
         df, moved = self.prepared(outputs)
         return plan(df, moved, list(self.keys), list(self.order), list(self.df.columns) if keep is None else keep)
 
+    def adjusted(self, column: str) -> Bars:
+        """These bars with another column as their close, such as one adjusted for dividends and splits."""
+        return Bars(self.df, self.keys, self.order, {**self.columns, "close": column})
+
+    def whole(self, kind: str, **params) -> DataFrame:
+        """Operators over a whole series at once, which look ahead: tos_stdevall and zigzag append their columns, vp
+        gives the profile's table."""
+        keys, close = list(self.keys), self.columns.get("close", "close")
+        if kind == "tos_stdevall":
+            return tos_stdevall(self.df, keys, list(self.order), close, **params)
+        if kind == "vp":
+            return vp(self.df, keys, list(self.order), close, self.columns.get("volume", "volume"), **params)
+        if kind == "zigzag":
+            return zigzag(self.df, keys, self.order[0], self.columns.get("high", "high"), self.columns.get("low", "low"), **params)
+        raise ValueError(f"{kind!r} is not an operator over whole series")
+
     def ta(self, kind: str, keep: list[str] | None = None, **params) -> DataFrame:
         """The table with an operator's columns appended (keep: only these of its own columns)."""
         if kind not in REGISTRY:
@@ -118,3 +136,19 @@ class Bars:
         shared parts are computed once, and recursive operators share one Python pass."""
         study = all_study() if study is None else category_study(study) if isinstance(study, str) else study
         return self.select(study.outputs(self.columns), keep)
+
+
+def speed_test(bars: Bars, only: list[str] | None = None, excluded: tuple[str, ...] = ("long_run", "short_run"), top: int | None = None, runs: int = 1):
+    """Seconds of each operator alone over the bars, slowest first, as (kind, least, mean); top: only so many. Each
+    result is computed in full and thrown away."""
+    out = []
+    for kind in sorted(only or REGISTRY):
+        if kind in excluded:
+            continue
+        took = []
+        for _ in range(runs):
+            began = time.perf_counter()
+            bars.ta(kind).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        out.append((kind, min(took), sum(took) / len(took)))
+    return sorted(out, key=lambda r: -r[2])[:top]

@@ -1,5 +1,6 @@
 """Operators whose result is a table or a figure of a whole series rather than a column of it."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +22,76 @@ def tos_stdevall(df: DataFrame, keys: list[str], order: list[str], close: str =
     return out.select(*df.columns, *[v.alias(k) for k, v in cols.items()])
 
 
-def vp(df: DataFrame, keys: list[str], order: list[str], close: str = "close", volume: str = "volume", width: int = 10, sort: bool = False) -> DataFrame:
+def ifisher(df: DataFrame, keys: list[str], column: str, amp: float = 1.0) -> DataFrame:
+    """The inverse Fisher transform of a column, INVFISHER: series with values beyond -1 to 1 are first mapped there from
+    their least and greatest. It looks ahead then: one aggregate for each series."""
+    x = F.col(column).cast("double")
+    ends = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    mapped = F.when((F.col("_lo") < -1) | (F.col("_hi") > 1), F.try_divide(2 * (x - F.col("_lo")), F.col("_hi") - F.col("_lo")) - 1).otherwise(x)
+    z = F.exp(amp * mapped)
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(ends, on).select(*[F.col(f"`{c}`") for c in df.columns], ((z - 1) / (z + 1)).alias(f"INVFISHER_{float(amp)}"))
+
+
+def zigzag(
+    df: DataFrame, keys: list[str], order: str, high: str = "high", low: str = "low", legs: int = 10, deviation: float = 5.0
+) -> DataFrame:
+    """Zigzag with hindsight: points stand at their pivots and only final ones are given. It looks ahead: from the last
+    pivot back, a pivot is the next point if it turns by more than `deviation` percent, and takes the point's place if
+    it goes further the same way. Pivots are native; a series' pivots, not its bars, meet in one task."""
+    half = legs // 2
+    around = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)
+    full = F.count(F.lit(1)).over(around) == 2 * half + 1
+    dip, peak = F.col(low) <= F.min(low).over(around), F.col(high) >= F.max(high).over(around)
+    # The last bar with a whole window counts as not known yet.
+    left = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc())) - 1
+    pivots = df.withColumns({"_dip": full & dip & (left > half), "_peak": full & peak & (left > half)})
+    kinds = F.array(
+        F.when(F.col("_dip"), F.struct(F.lit(0).alias("turn"), F.lit(-1.0).alias("swing"), F.col(low).cast("double").alias("value"))),
+        F.when(F.col("_peak"), F.struct(F.lit(1).alias("turn"), F.lit(1.0).alias("swing"), F.col(high).cast("double").alias("value"))),
+    )
+    rows = pivots.filter("_dip or _peak").select(*keys, order, F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("p")).select(*keys, order, "p.*")
+    tail = f"_{deviation}%_{legs}"
+    names = [f"ZIGZAG{k}{tail}" for k in ("s", "v", "d")]
+
+    def back(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([order, "turn"], kind="stable").reset_index(drop=True)
+        points: list[list] = []  # from the last: row, swing, value, deviation of the point after it
+        for at in range(len(pdf) - 1, -1, -1):
+            swing, value = float(pdf["swing"][at]), float(pdf["value"][at])
+            if not points:
+                points.append([at, swing, value, 0.0])
+                continue
+            if value == 0:
+                continue
+            last = points[-1]
+            if swing == last[1]:
+                if len(points) > 1 and (value - last[2]) * swing > 0:
+                    last[0], last[2] = at, value
+                    points[-2][3] = 100 * swing * (value - points[-2][2]) / value
+            else:
+                change = swing * (value - last[2]) / value
+                if change > deviation / 100 and pdf[order][at] != pdf[order][last[0]]:
+                    last[3] = 100 * change
+                    points.append([at, swing, value, 0.0])
+        out = pdf.loc[[p[0] for p in points], [*keys, order]].reset_index(drop=True)
+        for i in range(len(names)):
+            out[f"_point_{i}"] = [p[i + 1] for p in points]
+        return out.drop_duplicates(order, keep="last").rename(columns={c: f"_at_{c}" for c in (*keys, order)})
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*[f"`_at_{c}` {types[c]}" for c in (*keys, order)], *[f"`_point_{i}` double" for i in range(len(names))]])
+    found = rows.groupBy(*keys).applyInPandas(back, schema)
+    on = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_at_{c}`")) for c in (*keys, order)]
+    return df.join(found, on, "left").select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_point_{i}").alias(c) for i, c in enumerate(names)])
+
+
+def vp(
+    df: DataFrame, keys: list[str], order: list[str], close: str = "close", volume: str = "volume", width: int = 10, sort: bool = False
+) -> DataFrame:
     """Volume profile: `width` rows for each series, of consecutive rows (as even as can be, the first ones longer) or,
-    with sort, of equal price ranges: low, mean and high price, and volume on rising, falling and unchanged closes."""
+    with sort, of equal price ranges: low, mean and high price, and volume on rising, falling and unchanged closes. The
+    total is that of the rising and falling ones."""
     w = Window.partitionBy(*keys).orderBy(*order)
     x, v = F.col(close).cast("double"), F.col(volume).cast("double")
     whole = Window.partitionBy(*keys)
@@ -37,7 +105,7 @@ def vp(df: DataFrame, keys: list[str], order: list[str], close: str = "close", v
         bucket = F.when(F.col("_i") < long, F.floor(F.col("_i") / (size + 1))).otherwise(more + F.floor(F.try_divide(F.col("_i") - long, size)))
     part = lambda s: F.sum(F.when(F.col("_s") == s, F.col("_v")).otherwise(0.0))
     return rows.groupBy(*keys, bucket.cast("int").alias("bucket")).agg(
-        F.min("_x").alias(f"low_{close}"), F.avg("_x").alias(f"mean_{close}"), F.max("_x").alias(f"high_{close}"), part(1).alias(f"pos_{volume}"), part(-1).alias(f"neg_{volume}"), part(0).alias(f"neut_{volume}"), F.sum("_v").alias(f"total_{volume}"),
+        F.min("_x").alias(f"low_{close}"), F.avg("_x").alias(f"mean_{close}"), F.max("_x").alias(f"high_{close}"), part(1).alias(f"pos_{volume}"), part(-1).alias(f"neg_{volume}"), part(0).alias(f"neut_{volume}"), (part(1) + part(-1)).alias(f"total_{volume}"),
     )
 
 

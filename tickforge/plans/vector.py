@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 
+from ..operators.kernels import KERNELS  # goes by value to workers, with what plug-ins add
 from .expr import NAN, E, looks_ahead, period_of, topological
 
 #: Windows that are copied at a time.
@@ -84,8 +85,6 @@ class Running:
     @staticmethod
     def _new(n: E):
         if n.op == "scan":
-            from ..operators.kernels import KERNELS
-
             return KERNELS[n.p[0]](**dict(n.p[1]))
         # ewm: rows so far, sum and number of the values that seed it, last result; cum: last result and period.
         return {"lag": [], "roll": [], "dot": [], "cum": [NAN, NAN], "ffill": [NAN], "rownum": [0], "ewm": [0, 0.0, 0, NAN]}.get(n.op)
@@ -216,8 +215,6 @@ def _one(n: E, a: list, columns: dict[str, np.ndarray], size: int):
     if op == "ewm":
         return _ewm(a[0], *n.p)
     if op == "scan":
-        from ..operators.kernels import KERNELS
-
         return _scanned(KERNELS[n.p[0]](**dict(n.p[1])).run, a, size)
     if a[0].shape[1] <= n.p[0]:
         return np.full(size, NAN)

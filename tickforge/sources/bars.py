@@ -17,6 +17,18 @@ def from_ticks(df: DataFrame, key: str, ts: str, price: str, unit: str, tie: lis
     )
 
 
+def stream_bars(ticks: DataFrame, key: str, ts: str, price: str, period: str, delay: str, tie: list[str] | None = None, volume: str | None = None) -> DataFrame:
+    """Bars of a stream of ticks, each given once: when the watermark, the greatest time less `delay`, has passed its
+    period ("1 hour"). Later ticks of that period are dropped, as Spark counts (numRowsDroppedByWatermark)."""
+    at = F.struct(ts, *(tie or []))
+    windowed = ticks.withWatermark(ts, delay).groupBy(F.col(key).cast("string").alias("symbol"), F.window(ts, period).alias("w"))
+    bars = windowed.agg(
+        F.min_by(price, at).cast("double").alias("open"), F.max(price).cast("double").alias("high"), F.min(price).cast("double").alias("low"),
+        F.max_by(price, at).cast("double").alias("close"), (F.count(F.lit(1)) if volume is None else F.sum(volume)).cast("double").alias("volume"),
+    )
+    return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+
+
 def events_bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
     return from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value", unit, ["event_id"])
 
