@@ -62,9 +62,11 @@ def judge(pages: DataFrame, entries: DataFrame, fetched: Column) -> DataFrame:
     seen = tagged.select(F.col(n["host"]).alias("h"), F.col(n["fetch_date"]).alias("d")).na.drop().distinct()
     labels = F.split("h", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    valid = intervals(entries)
-    keyed = seen.select("h", "d", F.explode(suffixes).alias("k")).join(valid.select(F.col("list_key").alias("k")).distinct(), "k", "left_semi")
-    # Written, so that hosts meet it by key and day, and a listed domain with most hosts is not one task.
+    # All three are written: each is read twice, and hosts meet their verdicts by key and day, so that a listed domain
+    # with most hosts is not one task.
+    valid = materialize(intervals(entries), "intervals")
+    listed = valid.select(F.col("list_key").alias("k")).distinct()
+    keyed = materialize(seen.select("h", "d", F.explode(suffixes).alias("k")).join(listed, "k", "left_semi"), "listed-hosts")
     held = materialize(as_of(keyed.select("k", "d").distinct(), valid), "as-of")
     active = keyed.join(held, ["k", "d"])
     best = active.groupBy("h", "d").agg(F.max(F.struct(F.length("k").alias("l"), F.col("k"), F.col("valid_from"), F.col("action"))).alias("b"))
