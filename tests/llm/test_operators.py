@@ -10,10 +10,11 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tickforge.llm import decontam, langid, mixing, pii, quality_model, quality_rules, sharding, simhash, url_filter, warc
+from tickforge.llm import decontam, langid, mixing, near_copies, pii, quality_model, quality_rules, sharding, simhash, url_filter, warc
 from tickforge.llm.components import connected_components
 
 #: Columns of documents, and further ones with names that operators use for their own.
@@ -207,6 +208,33 @@ def test_near_dedup_stage_drops_edited_copies(spark, docs, rows, empty):
     assert corpus_pipeline.drop_near_duplicates(spark, empty, "").columns == docs.columns and corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
 
 
+def test_near_dedup_stage_links_by_trees_before_bands(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [text_of("en", 3000, 900 + i) for i in range(6)]
+    texts += [" ".join(["edit", *t.split()[1:]]) for t in texts] + [text_of("fr", 40, 7), text_of("fr", 40, 8)]
+    hashes = [near_copies.simhash_of(near_copies.shingles_of(t)) % (1 << 64) for t in texts]
+    for t, h in zip(texts, hashes, strict=True):
+        votes = near_copies.shingles_of(t).tolist()
+        ones = [2 * sum(v.to_bytes(8, "little")[b // 8] >> (7 - b % 8) & 1 for v in votes) > len(votes) for b in range(64)]
+        assert h.to_bytes(8, "little") == bytes(sum(ones[8 * k + b] << (7 - b) for b in range(8)) for k in range(8))
+    close = [(i, i + 6) for i in range(6) if (hashes[i] ^ hashes[i + 6]).bit_count() <= near_copies.TREE_RADIUS]
+    assert len(close) > 3
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_copies, "_proposals", lambda similarity: lambda batches: iter(()))  # no bands
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert kept == set(range(len(texts))) - {j for _, j in close}
+
+
+def test_tree_pairs_are_links_only_if_the_sets_are_alike(spark):
+    sets = spark.createDataFrame([(1, 0b0), (2, 0b0), (3, 0b111), (4, 0b1111 << 40), (5, -1)], "fp long, simhash long")
+    assert {tuple(x) for x in near_copies.tree_pairs(sets).collect()} == {(1, 2), (1, 3)}
+    a, b = ([np.uint64(x) for x in range(k, k + 10)] for k in (0, 3))
+    pairs = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *(pa.array([np.array(x).tobytes()]) for x in (a, b))], names=["a", "b", "s", "t"])
+    assert [x.num_rows for x in near_copies._confirm(0.8)(iter([pairs]))] == [0]
+
+
 # ---- decontamination
 
 
