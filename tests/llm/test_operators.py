@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tickforge.llm import decontam, langid, mixing, near_copies, pii, quality_model, quality_rules, sharding, simhash, url_filter, warc
+from tickforge.llm import common, decontam, langid, mixing, near_copies, pii, quality_model, quality_rules, sharding, simhash, url_filter, warc
 from tickforge.llm.components import connected_components
 
 #: Columns of documents, and further ones with names that operators use for their own.
@@ -235,6 +235,34 @@ def test_tree_pairs_are_links_only_if_the_sets_are_alike(spark):
     assert [x.num_rows for x in near_copies._confirm(0.8)(iter([pairs]))] == [0]
 
 
+def test_sifted_loses_no_key_and_spares_the_shuffle(spark, monkeypatch):
+    rows = [(i, "x" * (i % 7), "c") for i in range(-500, 3000)] + [(None, "n", "c"), (7, "twice", "c")]
+    df = spark.createDataFrame(rows, "id long, _at string, _bits string").repartition(5)
+    for bits, most in ((common.SIEVE_BITS, 520), (1 << 16, 1000), (common.BITMAP, 3300)):
+        monkeypatch.setattr(common, "SIEVE_BITS", bits)
+        maybe, rest = common.sifted(df, F.col("id"), spark.range(-100, 400))
+        hit = {x.id for x in maybe.collect()}
+        assert maybe.columns == rest.columns == df.columns
+        assert set(range(-100, 400)) <= hit and None not in hit and maybe.count() < most
+        assert sorted(map(str, maybe.collect() + rest.collect())) == sorted(map(str, df.collect()))
+    none, rest = common.sifted(df, F.col("id"), spark.range(0))
+    assert none.count() == 0 and rest.count() == len(rows)
+
+
+def test_one_of_each_group_shuffles_only_rows_that_may_go(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(300)] + [(i, "text 5") for i in range(300, 320)] + [(8, "text 8"), (9, "another"), (None, "text 3"), (None, "alone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    keep = simhash.sifted
+    monkeypatch.setattr(simhash, "sifted", lambda *a: seen.append(keep(*a)) or seen[-1])
+    found = lambda d: spark.createDataFrame([(i, hash(t or "") % 10**9, 9 if t == "another" else None if i is None and t != "text 3" else 5 if t == "text 5" else 3 if t == "text 3" else i) for i, t in rows], "doc_id long, fp long, component_id long")
+    out = simhash.one_of_each_group(docs, found, lambda t: hash(t or "") % 10**9).collect()
+    assert sorted((x.doc_id, x.text) for x in out if x.doc_id is not None and x.doc_id != 9) == [(i, f"text {i}") for i in range(300) if i != 9]
+    assert sum(x.doc_id == 9 for x in out) == 1
+    ((maybe, staying),) = seen
+    assert maybe.count() <= 26 and {x.doc_id for x in maybe.collect()} >= {8, 9, *range(300, 320)} and staying.count() >= 295
+
+
 # ---- decontamination
 
 

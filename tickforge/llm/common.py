@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the operators' contracts define words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bits of a sieve, so many whatever the input: 4 MB at most are broadcast. BITMAP are those of one of Spark's bitmaps.
+SIEVE_BITS, BITMAP = 1 << 25, 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,3 +70,20 @@ def fresh_names(df: DataFrame, *bases: str) -> dict[str, str]:
 def same_columns(df: DataFrame) -> list[Column]:
     """df's own columns, by quoted names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def sifted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose key may be among `keys` (one column of longs), and rows whose key is not, null keys among
+    them. A hash of each key sets a bit; the more keys, the more rows of others may be. So a join of the first part
+    settles the whole, and the second part need not be shuffled."""
+    n = fresh_names(df, "_at", "_bits", "_slice")
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SIEVE_BITS))
+    marks = keys.select(place(F.col(keys.columns[0])).alias("at")).select(F.floor(F.col("at") / BITMAP).alias("slice"), F.col("at").bitwiseAND(F.lit(BITMAP - 1)).alias("bit"))
+    bits = marks.repartition("slice").groupBy(F.col("slice").alias(n["_slice"])).agg(F.bitmap_construct_agg("bit").alias(n["_bits"]))
+    bits = materialize(bits, "sieve")
+    at = F.col(n["_at"])
+    tried = df.withColumn(n["_at"], F.when(key.isNotNull(), place(key))).join(F.broadcast(bits), F.floor(at / BITMAP) == F.col(n["_slice"]), "left")
+    within = at.bitwiseAND(F.lit(BITMAP - 1))
+    byte = F.conv(F.hex(F.substring(F.col(n["_bits"]), F.floor(within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.coalesce(F.call_function("getbit", byte, (within % 8).cast("int")) == 1, F.lit(False))
+    return tried.filter(set_).select(*same_columns(df)), tried.filter(~set_).select(*same_columns(df))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_names, materialize, same_columns
+from .common import documents, fresh_names, materialize, same_columns, sifted
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -260,8 +260,11 @@ def one_of_each_group(docs: DataFrame, find: Callable[[DataFrame], DataFrame] =
     id_ = F.col("doc_id").cast("long")
     kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(n["_first"])).agg(F.count("*").alias(n["_times"]))
     firsts = materialize(kept, "firsts")
-    out = docs.join(firsts.filter(times == 1), id_ == first, "left_semi")
     repeated = firsts.filter(times > 1)
+    # Ids of which some row goes. All rows of other ids stay where they are; only the former's need the join.
+    going = found.filter("doc_id <> component_id").select("doc_id").union(repeated.select(first))
+    maybe, staying = sifted(docs, id_, going)
+    out = staying.filter(id_.isNotNull()).union(maybe.join(firsts.filter(times == 1), id_ == first, "left_semi"))
     if not repeated.isEmpty():
         again = docs.withColumn(n["_row"], F.struct(*same_columns(docs))).join(repeated, id_ == first)
         out = out.union(again.groupBy(first).agg(F.first(row).alias(n["_row"])).select(f"{n['_row']}.*"))
